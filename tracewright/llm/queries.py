@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bytebpe, toxicity
+from tracewright.llm import bytebpe, decontam, toxicity
 from tracewright.llm.common import table
 
 
@@ -17,5 +17,9 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.op4_byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_byte_bpe)}
-ORACLES: dict[str, str] = {}
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.op7_decontam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_byte_bpe, op7_decontam)}
+ORACLES: dict[str, str] = {"op7_decontam": decontam.ORACLE}
