@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewright.llm import bytebpe, decontam, toxicity
+from tracewright.llm import ann, bytebpe, decontam, ngramjoin, toxicity
 from tracewright.llm.common import table
 
 
@@ -21,5 +21,13 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op7_decontam(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_byte_bpe, op7_decontam)}
-ORACLES: dict[str, str] = {"op7_decontam": decontam.ORACLE}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.op8_ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op10_ann(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_byte_bpe, op7_decontam, op8_ngram_join, op10_ann)}
+ORACLES: dict[str, str] = {"op7_decontam": decontam.ORACLE, "op8_ngram_join": ngramjoin.ORACLE}
