@@ -32,12 +32,16 @@ from tracewright.llm.common import DOC_COLUMNS, document_columns, written
 from tracewright.llm.components import components
 
 THRESHOLD = 75  # per cent
-#: Bytes of text whose n-grams one fragment's task gets on the mean.
-FRAGMENT_BYTES = 8 << 20
+#: Bytes of text whose n-grams one fragment's task gets on the mean, and of a batch.
+FRAGMENT_BYTES = BATCH_BYTES = 8 << 20
 #: So many sets of a batch make an n-gram frequent there.
 FREQUENT = 64
+#: Bits by which n-grams of one fragment are told apart.
+BITS = 48
 #: Fragments in which the overlaps of candidates are counted.
 PARTS = 4
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
@@ -54,47 +58,88 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp binary")
 
 
+class Fragments:
+    """Even steps of the range of n-grams, and n-grams in a fragment as six bytes each."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.step = -(-(1 << 64) // n)
+        self.shift = np.uint64(max(0, self.step.bit_length() - BITS))
+
+    def low(self, k: int) -> np.uint64:
+        return np.uint64(min(k * self.step, (1 << 64) - 1))
+
+    def pack(self, k: int, tokens: np.ndarray) -> bytes:
+        return ((tokens - self.low(k)) >> self.shift).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+    def unpack(self, k: int, data: bytes) -> np.ndarray:
+        wide = np.zeros((len(data) // 6, 8), np.uint8)
+        wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+        return (wide.view("<u8").ravel() << self.shift) + self.low(k)
+
+    def whole(self, tokens: np.ndarray) -> np.ndarray:
+        """Sorted tokens as they come back from unpack."""
+        cut = [0, *np.searchsorted(tokens, [self.low(k) for k in range(1, self.n)]), len(tokens)]
+        return np.concatenate([((tokens[lo:hi] - self.low(k) >> self.shift) << self.shift) + self.low(k) for k, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))])
+
+
 _ROW = "frag int, batch binary, kind int, tokens binary, who binary, freq binary"
 
 
+def _batch_rows(sets: dict[bytes, np.ndarray], cut: Fragments) -> list[tuple]:
+    fps, arrays = list(sets), list(sets.values())
+    sizes = np.array([len(a) for a in arrays], np.int32)
+    tokens, who = np.concatenate(arrays), np.repeat(np.arange(len(fps), dtype=np.int32), sizes)
+    order = np.argsort(tokens, kind="stable")
+    tokens, who = tokens[order], who[order]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    count = np.diff(np.concatenate([first, [len(tokens)]]))
+    often = count >= FREQUENT
+    is_often = np.repeat(often, count)
+    key = shingles.fingerprint(np.frombuffer(b"".join(fps), np.uint8))
+    hot, hot_n = tokens[first[often]], count[often]
+    mine, my_who = tokens[is_often], who[is_often]
+    tokens, who = tokens[~is_often], who[~is_often]
+    edges = np.array([cut.low(k) for k in range(1, cut.n)], np.uint64)
+    p, h = [0, *np.searchsorted(tokens, edges), len(tokens)], [0, *np.searchsorted(hot, edges), len(hot)]
+    rows = []
+    for f in range(cut.n):
+        if p[f] < p[f + 1] or h[f] < h[f + 1]:
+            # by holder, so that the holders are a count for each set; frequent ones behind
+            t, w = tokens[p[f] : p[f + 1]], who[p[f] : p[f + 1]]
+            order = np.argsort(w, kind="stable")
+            rows.append((f, key, 0, cut.pack(f, t[order]) + cut.pack(f, hot[h[f] : h[f + 1]]), _counts(w, len(fps)), hot_n[h[f] : h[f + 1]].astype("<i4").tobytes()))
+    again = cut.whole(mine) if len(mine) else mine
+    rows.append((int.from_bytes(key[:4], "big") % cut.n, key, 1, b"".join(fps) + sizes.tobytes(), again.tobytes(), my_who.tobytes()))
+    return rows
+
+
+def _counts(who: np.ndarray, n: int) -> bytes:
+    return np.bincount(who, minlength=n).astype("<u4").tobytes()
+
+
 def _segments(docs: DataFrame, fragments: int) -> DataFrame:
-    """One row for each batch of documents and fragment: kind 0 has n-grams and their
-    holders' places in the batch, then frequent n-grams and their counts; kind 1 (one a
-    batch) the fingerprints and sizes, with the holders of the batch's frequent n-grams."""
+    """One row for each batch of documents and fragment: kind 0 has n-grams, by holder, and
+    how many each set of the batch holds, then frequent n-grams and their counts; kind 1
+    (one a batch) the fingerprints and sizes, with the holders of frequent n-grams."""
 
     def run(batches):
+        cut = Fragments(fragments)
         for b in batches:
-            sets = {}
-            for s in shingles.shingle_sets(b.column(0).to_pylist()):
-                if len(s):
-                    sets.setdefault(shingles.fingerprint(s), s)
-            if not sets:
-                continue
-            fps, arrays = list(sets), list(sets.values())
-            sizes = np.array([len(a) for a in arrays], np.int32)
-            tokens, who = np.concatenate(arrays), np.repeat(np.arange(len(fps), dtype=np.int32), sizes)
-            order = np.argsort(tokens, kind="stable")
-            tokens, who = tokens[order], who[order]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            count = np.diff(np.concatenate([first, [len(tokens)]]))
-            often = count >= FREQUENT
-            is_often = np.repeat(often, count)
-            key = shingles.fingerprint(np.frombuffer(b"".join(fps), np.uint8))
-            rows = []
-            plain, holders = tokens[~is_often], who[~is_often]
-            hot, hot_n = tokens[first[often]], count[often].astype(np.int64)
-            edges = (np.arange(fragments + 1, dtype=object) * (1 << 64)) // fragments
-            cut = np.array([int(min(e, (1 << 64) - 1)) for e in edges], np.uint64)
-            p, h = np.searchsorted(plain, cut), np.searchsorted(hot, cut)
-            p[-1], h[-1] = len(plain), len(hot)
-            for f in range(fragments):
-                if p[f] < p[f + 1] or h[f] < h[f + 1]:
-                    # frequent ones follow, their counts as freq
-                    rows.append((f, key, 0, plain[p[f] : p[f + 1]].tobytes() + hot[h[f] : h[f + 1]].tobytes(), holders[p[f] : p[f + 1]].tobytes(), hot_n[h[f] : h[f + 1]].tobytes()))
-            meta = b"".join(fps) + sizes.tobytes()
-            rows.append((int.from_bytes(key[:4], "big") % fragments, key, 1, meta, tokens[is_often].tobytes(), who[is_often].tobytes()))
-            kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["frag", "batch", "kind", "tokens", "who", "freq"])
+            texts, at = b.column(0).to_pylist(), 0
+            while at < len(texts):
+                size, end = 0, at
+                while end < len(texts) and (end == at or size < BATCH_BYTES):
+                    size, end = size + len(texts[end] or ""), end + 1
+                sets: dict[bytes, np.ndarray] = {}
+                for s in shingles.shingle_sets(texts[at:end]):
+                    if len(s):
+                        sets.setdefault(shingles.fingerprint(s), s)
+                at = end
+                if sets:
+                    rows = _batch_rows(sets, cut)
+                    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["frag", "batch", "kind", "tokens", "who", "freq"])
 
     return docs.select("text").mapInArrow(run, _ROW)
 
@@ -104,27 +149,29 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     kind 1 pass. Kind 0 goes out with freq for the plain n-grams, kind 2 for frequent ones."""
     meta, own = rows[rows.kind == 1], rows[rows.kind == 0]
     out = [tuple(r) for r in meta.itertuples(index=False)]
-    tokens = [np.frombuffer(x, np.uint64) for x in own.tokens]
-    who = [np.frombuffer(x, np.int32) for x in own.who]
-    hot_n = [np.frombuffer(x, np.int64) for x in own.freq]
+    # six bytes an n-gram are compared as they are
+    tokens = [np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel() for x in own.tokens]
+    held = [np.frombuffer(x, "<u4") for x in own.who]
+    hot_n = [np.frombuffer(x, "<i4") for x in own.freq]
     if tokens:
         every = np.concatenate(tokens)
-        weight = np.concatenate([np.concatenate([np.ones(len(w), np.int64), n]) for w, n in zip(who, hot_n, strict=True)])
+        weight = np.concatenate([np.concatenate([np.ones(len(t) - len(n), np.int64), n]) for t, n in zip(tokens, hot_n, strict=True)])
         order = np.argsort(every, kind="stable")
         ordered = every[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        total = np.add.reduceat(weight[order], np.flatnonzero(new))
-        df = np.empty(len(every), np.int64)
+        total = np.minimum(np.add.reduceat(weight[order], np.flatnonzero(new)), (1 << 31) - 1)
+        df = np.empty(len(every), "<i4")
         df[order] = total[np.cumsum(new) - 1]
         at = 0
-        for key, t, w in zip(own.batch, tokens, who, strict=True):
-            d = df[at : at + len(t)]
-            at += len(t)
-            keep = d[: len(w)] > 1
+        for frag, key, raw, h, n in zip(own.frag, own.batch, own.tokens, held, hot_n, strict=True):
+            six, size = np.frombuffer(raw, np.uint8).reshape(-1, 6), len(raw) // 6 - len(n)
+            d = df[at : at + len(six)]
+            at += len(six)
+            keep = d[:size] > 1
             if keep.any():
-                out.append((0, key, 0, t[: len(w)][keep].tobytes(), w[keep].tobytes(), d[: len(w)][keep].tobytes()))
-            if len(t) > len(w):
-                out.append((0, key, 2, t[len(w) :].tobytes(), b"", d[len(w) :].tobytes()))
+                out.append((frag, key, 0, six[:size][keep].tobytes(), _counts(np.repeat(np.arange(len(h)), h)[keep], len(h)), d[:size][keep].tobytes()))
+            if len(n):
+                out.append((frag, key, 2, six[size:].tobytes(), b"", d[size:].tobytes()))
     return pd.DataFrame(out, columns=["frag", "batch", "kind", "tokens", "who", "freq"])
 
 
@@ -132,7 +179,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (THRESHOLD * n + 99) // 100 + 1
 
 
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+def _ordered(cut: Fragments, rows: pd.DataFrame) -> pd.DataFrame:
     """A batch: each set that may have a partner, with the n-grams it shares in the order
     of rarity; own is the number of those that it has alone, p that of first n-grams left."""
     meta = rows[rows.kind == 1].iloc[0]
@@ -140,12 +187,12 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
     fps = [meta.tokens[16 * k : 16 * k + 16] for k in range(n_sets)]
     sizes = np.frombuffer(meta.tokens, np.int32, n_sets, 16 * n_sets).astype(np.int64)
     plain, often = rows[rows.kind == 0], rows[rows.kind == 2]
-    tokens = [np.frombuffer(x, np.uint64) for x in plain.tokens]
-    who = [np.frombuffer(x, np.int32) for x in plain.who]
-    df = [np.frombuffer(x, np.int64) for x in plain.freq]
+    tokens = [cut.unpack(f, x) for f, x in zip(plain.frag, plain.tokens, strict=True)]
+    who = [np.repeat(np.arange(n_sets, dtype=np.int32), np.frombuffer(x, "<u4")) for x in plain.who]
+    df = [np.frombuffer(x, "<i4") for x in plain.freq]
     if len(often):
-        hot = np.concatenate([np.frombuffer(x, np.uint64) for x in often.tokens])
-        hot_df = np.concatenate([np.frombuffer(x, np.int64) for x in often.freq])
+        hot = np.concatenate([cut.unpack(f, x) for f, x in zip(often.frag, often.tokens, strict=True)])
+        hot_df = np.concatenate([np.frombuffer(x, "<i4") for x in often.freq])
         order = np.argsort(hot)
         mine = np.frombuffer(meta.who, np.uint64)
         tokens.append(mine)
@@ -159,12 +206,19 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
         may = left[w] > 0
         t, w, d = t[may], w[may], d[may]
         order = np.lexsort((t, d, w))
-        t, w = t[order].view(np.int64), w[order]
+        t, w = t[order], w[order]
         starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else []
         for lo, hi in zip(starts, [*starts[1:], len(w)], strict=True):
             k = w[lo]
-            out.append((fps[k], int(sizes[k]), int(sizes[k] - shared[k]), int(left[k]), t[lo:hi]))
-    return pd.DataFrame(out, columns=["fp", "n", "own", "p", "tokens"])
+            out.append((fps[k], int(sizes[k]), int(sizes[k] - shared[k]), int(left[k]), t[lo:hi].view(np.int64), sketch(t[lo:hi])))
+    return pd.DataFrame(out, columns=["fp", "n", "own", "p", "tokens", "sketch"])
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of how many n-grams fall on each of 512 bits. The bits in which two sketches
+    differ are no more than the n-grams that one of the two sets has alone."""
+    bits = (tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(55)
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
 def shared_sets(docs: DataFrame) -> DataFrame:
@@ -172,7 +226,8 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(8, math.ceil(n_bytes / FRAGMENT_BYTES))
     counted = _segments(docs, fragments).groupBy("frag").applyInPandas(_counted, _ROW)
-    sets = counted.groupBy("batch").applyInPandas(_ordered, "fp binary, n long, own long, p long, tokens array<long>")
+    cut = Fragments(fragments)
+    sets = counted.groupBy("batch").applyInPandas(lambda rows: _ordered(cut, rows), "fp binary, n long, own long, p long, tokens array<long>, sketch array<long>")
     # equal sets of several batches
     return written(sets.dropDuplicates(["fp"]), "shared-sets")
 
@@ -183,7 +238,8 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     width = (1 << 64) // PARTS
     edges = [-(1 << 63) + k * width for k in range(PARTS)]
     part = [F.filter("tokens", (lambda lo, hi: lambda t: (t >= lo) & (t <= hi))(lo, lo + width - 1)) for lo in edges]
-    segments = sets.select("fp", "n", F.posexplode(F.array(*part)).alias("g", "seg"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    segments = sets.join(ends, "fp", "left_semi").select("fp", "n", F.posexplode(F.array(*part)).alias("g", "seg"))
     left = segments.select(F.col("fp").alias("a"), F.col("n").alias("na"), "g", F.col("seg").alias("sa"))
     right = segments.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "g", F.col("seg").alias("sb"))
     counted = pairs.select("a", "b").join(left, "a").join(right, ["b", "g"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
@@ -192,33 +248,43 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str) -> str:
-    """Sizes, and places of the common n-gram, that leave the threshold within reach."""
-    most = f"(1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) + least({a}.pos, {b}.pos))"
+    """Sizes, and places of the first common n-gram, that leave the threshold within reach."""
+    most = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
     return f"100 * least({a}.n, {b}.n) >= {THRESHOLD} * greatest({a}.n, {b}.n) and 100 * {most} >= {THRESHOLD} * ({a}.n + {b}.n - {most})"
 
 
+def _alike(a: str, b: str) -> str:
+    """Sketches that leave the threshold within reach: the n-grams that either has alone are
+    at most what the sizes allow."""
+    differ = " + ".join(f"bit_count({a}.sketch[{k}] ^ {b}.sketch[{k}])" for k in range(SKETCH))
+    return f"{100 + THRESHOLD} * ({a}.own + {b}.own + {differ}) <= {100 - THRESHOLD} * ({a}.n + {b}.n)"
+
+
 def set_components(docs: DataFrame) -> DataFrame:
     """(fp, comp) of the sets with links; comp is one of the component's sets."""
     sets = shared_sets(docs)
-    first = written(sets.select("fp", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p").cast("int"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k"), "first-ngrams")
-    comps = None
-    links = None
+    exploded = sets.select("fp", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p").cast("int"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k")
+    several = exploded.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    first = written(exploded.join(several, "token", "left_semi"), "first-ngrams")
+    comps = links = None
     for leaders in (True, True, False):
         if comps is None:
             at = first.withColumn("comp", F.col("fp"))
         else:
             at = first.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         # an n-gram whose holders are in one component has no more to tell
-        open_ = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("comp", "fp", "n", "pos")).alias("x"), F.max(F.struct("comp", "fp", "n", "pos")).alias("y")).where("lo < hi")
+        member = F.struct("comp", "fp", "n", "pos")
+        open_ = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x.comp < y.comp")
+        at = at.join(open_.select("token"), "token", "left_semi")
         if leaders:
             to = open_.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", "l.*")
+            both = at.alias("a").join(to.alias("b"), "token").where("a.comp <> b.comp").where(_near("a", "b"))
         else:
-            to = at.join(open_.select("token"), "token", "left_semi").select("token", "comp", "fp", "n", "pos")
-        at = at.join(open_.select("token"), "token", "left_semi")
-        both = at.alias("a").join(to.alias("b"), "token").where("a.comp <> b.comp").where(_near("a", "b"))
+            at = at.join(sets.select("fp", "own", "sketch"), "fp")
+            both = at.alias("a").join(at.alias("b"), "token").where("a.fp < b.fp and a.comp <> b.comp").where(_near("a", "b")).where(_alike("a", "b"))
         pairs = written(both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct(), "candidates")
         if pairs.isEmpty():
-            break
+            continue
         found = written(_linked(pairs, sets), "found")
         links = found if links is None else links.union(found)
         comps = components(links)
