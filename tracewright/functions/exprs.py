@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 M, A, C = 2_147_483_648, 1_103_515_245, 12_345
 
 
+def _multiplier(stream: int) -> int:
+    """Another full-period multiplier for each stream, so that streams of one key differ by
+    more than a shift."""
+    return (A + stream * 276_276_276) % M
+
+
 def lcg(key: Column, stream: int = 0) -> Column:
     """A repeatable number in [0, 1) from an id: two steps of a linear congruential
     generator, so that neighbouring ids aren't visibly related. A null id gives null."""
-    one = (F.pmod(key.cast("long"), F.lit(M)) * A + F.lit(stream * C + C)) % M
+    one = (F.pmod(key.cast("long"), F.lit(M)) * _multiplier(stream) + F.lit(stream * C + C)) % M
     return ((one * A + F.lit(C)) % M) / F.lit(float(M))
 
 
 def lcg_sql(key: str, stream: int = 0) -> str:
     """The same in SQL."""
-    return f"((((({key}) % {M}) * {A} + {stream * C + C}) % {M} * {A} + {C}) % {M} / {float(M)})"
+    return f"((((({key}) % {M}) * {_multiplier(stream)} + {stream * C + C}) % {M} * {A} + {C}) % {M} / {float(M)})"
 
 
 def hash_partition(key: Column, n: int) -> Column:
