@@ -5,7 +5,7 @@ over word bigrams (twice the common ones over the sum of both counts, as multise
 windows of consecutive lines. A window of w bigrams can only reach the threshold t with
 templates of between t w / (2 - t) and (2 - t) w / t bigrams, which leaves few templates
 and ends a window once it is too long for all. Windows begin and end with lines that
-hold a bigram of some template.
+have part in a bigram of some template.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ class Scanner:
         forms = sorted(((bigrams(words(x)), name) for name, xs in templates.items() for x in xs if words(x)), key=lambda f: sum(f[0].values()))
         self.forms, self.sizes = forms, [sum(f[0].values()) for f in forms]
         self.known = {g for f, _ in forms for g in f}
-        self.starts = {g[0] for g in self.known}
+        self.words = {g[0] for g in self.known}
         self.longest = max(self.sizes, default=0) * (2 - threshold) / threshold
 
     def fitting(self, n: int) -> list[tuple[Counter, str]]:
@@ -81,24 +81,28 @@ class Scanner:
         equal ones the first and shortest."""
         if not text or not self.forms:
             return []
-        lines: list[tuple[int, list[str]]] = []
-        hits = []
-        for k, line in enumerate(text.split("\n")):
-            # a line without the first word of a known pair, or too long for all, is no hit
-            low = line.lower()
-            ws = WORD.findall(low) if any(s in low for s in self.starts) else None
-            if ws is not None and len(ws) - 1 <= self.longest and not self.known.isdisjoint(zip(ws, ws[1:], strict=False) if len(ws) > 1 else [(w, "") for w in ws]):
-                hits.append(len(lines))
-            lines.append((k, ws))
+        lines = [WORD.findall(x) for x in text.lower().split("\n")]
+        known, hit, before = self.known, set(), -1
+        for k, ws in enumerate(lines):
+            if not ws:
+                continue
+            if len(ws) > 1:
+                if not self.words.isdisjoint(ws) and not known.isdisjoint(zip(ws, ws[1:], strict=False)):
+                    hit.add(k)
+            elif (ws[0], "") in known:
+                hit.add(k)
+            # a pair over the end of a line makes both its lines hits
+            if before >= 0 and (lines[before][-1], ws[0]) in known:
+                hit |= {before, k}
+            before = k
+        hits = sorted(hit)
         best: dict[str, tuple[str, float, int, int]] = {}
-        texts = text.split("\n") if hits else []
         for i, lo in enumerate(hits):
             ws: list[str] = []
             at = lo
             for hi in hits[i:]:
                 while at <= hi:
-                    own = lines[at][1]
-                    ws = ws + (words(texts[at]) if own is None else own)
+                    ws = ws + lines[at]
                     at += 1
                 if len(ws) - 1 > self.longest:
                     break
