@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,12 +13,14 @@ from tracewright.operators import simulate as S
 from tracewright.plans.base import DAY_US, Tables, query, windowed_events
 from tracewright.plans.distribution_queries import C_SQL, RATES, H, _counts, _rates
 
-KEY = F.col("o_orderkey")
+
+def order_key() -> Column:
+    return F.col("o_orderkey")
 
 
 @query("gen_column", f"SELECT o_orderkey, CASE WHEN {lcg_sql('o_orderkey', 2)} >= 0.1 THEN floor({lcg_sql('o_orderkey', 1)} * 50) * 2.0 + 7 END amount, {lcg_sql('o_orderkey', 5)} < 0.3 flag FROM orders")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", G.number_column(KEY, 50, 7.0, 2.0, 0.1, 1).alias("amount"), G.boolean_column(KEY, 0.3, 5).alias("flag"))
+    return t.orders.select("o_orderkey", G.number_column(order_key(), 50, 7.0, 2.0, 0.1, 1).alias("amount"), G.boolean_column(order_key(), 0.3, 5).alias("flag"))
 
 
 _CHARS = "substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', CAST(floor({u} * 62) AS INT) + 1, 1)"
@@ -31,12 +33,12 @@ def _varchar_sql(i: str) -> str:
 
 @query("gen_varchar", f"WITH i AS (SELECT o_orderkey, CAST(floor({lcg_sql('o_orderkey', 9)} * 40) AS BIGINT) i FROM orders) SELECT o_orderkey, {_varchar_sql('i')} s FROM i")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", G.string_column(KEY, 40, 12, 0.0, 9).alias("s"))
+    return t.orders.select("o_orderkey", G.string_column(order_key(), 40, 12, 0.0, 9).alias("s"))
 
 
 @query("gen_pk", "SELECT (o_orderkey // 12) % 5000 + 1 a, (o_orderkey // 4) % 3 + 1 b, o_orderkey % 4 + 1 c FROM orders")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select(*[c.alias(n) for c, n in zip(G.key_columns(KEY, [5000, 3, 4]), "abc", strict=True)])
+    return t.orders.select(*[c.alias(n) for c, n in zip(G.key_columns(order_key(), [5000, 3, 4]), "abc", strict=True)])
 
 
 SCHEMA = [
@@ -55,7 +57,7 @@ def _(t: Tables) -> DataFrame:
 @query("gen_fk", f"SELECT o_orderkey, CAST(floor({lcg_sql('o_orderkey', 4)} * (SELECT count(*) FROM customer)) + 1 AS BIGINT) fk FROM orders")
 def _(t: Tables) -> DataFrame:
     n = t.customer.agg(F.count("*").alias("n"))
-    return t.orders.crossJoin(F.broadcast(n)).select("o_orderkey", G.foreign_key(KEY, F.col("n"), 4).alias("fk"))
+    return t.orders.crossJoin(F.broadcast(n)).select("o_orderkey", G.foreign_key(order_key(), F.col("n"), 4).alias("fk"))
 
 
 @query("fake_columns")
@@ -76,18 +78,18 @@ def _cdf(t: Tables) -> DataFrame:
 
 @query("sample_cdf", f"WITH {TOP_SQL} SELECT slot, count(*) n, min(o_orderkey) first_key FROM orders JOIN c ON lo <= {lcg_sql('o_orderkey', 11)} AND {lcg_sql('o_orderkey', 11)} < hi GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return G.sampled(t.orders, lcg(KEY, 11), _cdf(t), ["slot"]).groupBy("slot").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+    return G.sampled(t.orders, lcg(order_key(), 11), _cdf(t), ["slot"]).groupBy("slot").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
 
 
 @query("gen_continuous", f"WITH {TOP_SQL} SELECT o_orderkey, slot, round(low + {lcg_sql('o_orderkey', 12)} * (high - low), 6) v FROM orders JOIN c ON lo <= {lcg_sql('o_orderkey', 11)} AND {lcg_sql('o_orderkey', 11)} < hi")
 def _(t: Tables) -> DataFrame:
-    return G.sampled(t.orders, lcg(KEY, 11), _cdf(t), ["slot", "low", "high"]).select("o_orderkey", "slot", F.round(G.within(lcg(KEY, 12), F.col("low"), F.col("high")), 6).alias("v"))
+    return G.sampled(t.orders, lcg(order_key(), 11), _cdf(t), ["slot", "low", "high"]).select("o_orderkey", "slot", F.round(G.within(lcg(order_key(), 12), F.col("low"), F.col("high")), 6).alias("v"))
 
 
 @query("gen_integer", f"WITH {TOP_SQL} SELECT o_orderkey, slot, low + CAST(floor({lcg_sql('o_orderkey', 12)} * ndv) AS BIGINT) * CASE WHEN slot > 10 THEN 5 ELSE 1 END v FROM orders JOIN c ON lo <= {lcg_sql('o_orderkey', 11)} AND {lcg_sql('o_orderkey', 11)} < hi")
 def _(t: Tables) -> DataFrame:
-    s = G.sampled(t.orders, lcg(KEY, 11), _cdf(t), ["slot", "low", "ndv"])
-    return s.select("o_orderkey", "slot", (F.col("low") + F.floor(lcg(KEY, 12) * F.col("ndv")).cast("long") * F.when(F.col("slot") > 10, 5).otherwise(1)).alias("v"))
+    s = G.sampled(t.orders, lcg(order_key(), 11), _cdf(t), ["slot", "low", "ndv"])
+    return s.select("o_orderkey", "slot", (F.col("low") + F.floor(lcg(order_key(), 12) * F.col("ndv")).cast("long") * F.when(F.col("slot") > 10, 5).otherwise(1)).alias("v"))
 
 
 @query("gen_partition", f"WITH {TOP_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_suppkey % 4 = 1')} SELECT o_orderkey, slot FROM orders JOIN c ON lo <= {lcg_sql('o_orderkey', 13)} AND {lcg_sql('o_orderkey', 13)} < hi")
@@ -96,7 +98,7 @@ def _(t: Tables) -> DataFrame:
     slot = F.when(F.col("rank") <= H, F.col("rank")).otherwise(11 + (F.col("v") % 5).cast("int"))
     b = r.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
     c = D.cdf(b.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy())), [], "slot", "p")
-    return G.sampled(t.orders, lcg(KEY, 13), c, ["slot"]).select("o_orderkey", "slot")
+    return G.sampled(t.orders, lcg(order_key(), 13), c, ["slot"]).select("o_orderkey", "slot")
 
 
 @query("in_domain", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice BETWEEN 1000 AND 150000) inside, count(*) n FROM orders GROUP BY 1")
@@ -132,12 +134,12 @@ AVG = "1 + (o_custkey % 7) / 4.0"
 
 @query("loop_counts", f"SELECT o_orderkey, CAST(floor({AVG}) + CAST({lcg_sql('o_orderkey', 21)} < {AVG} - floor({AVG}) AS INT) AS INT) rounds FROM orders")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", S.loop_count(1 + (F.col("o_custkey") % 7) / 4.0, lcg(KEY, 21)).alias("rounds"))
+    return t.orders.select("o_orderkey", S.loop_count(1 + (F.col("o_custkey") % 7) / 4.0, lcg(order_key(), 21)).alias("rounds"))
 
 
 @query("branch_choice", f"SELECT branch, count(*) n FROM (SELECT CASE WHEN {lcg_sql('o_orderkey', 22)} < 0.2 THEN 'a' WHEN {lcg_sql('o_orderkey', 22)} < 0.7 THEN 'b' ELSE 'c' END branch FROM orders) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return t.orders.select(S.choice(lcg(KEY, 22), {"a": 0.2, "b": 0.5, "c": 0.3}).alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
+    return t.orders.select(S.choice(lcg(order_key(), 22), {"a": 0.2, "b": 0.5, "c": 0.3}).alias("branch")).groupBy("branch").agg(F.count("*").alias("n"))
 
 
 @query("txn_choice", f"{RATES}, m AS (SELECT w, event_type, sum(txns) OVER (PARTITION BY w ORDER BY event_type) / sum(txns) OVER (PARTITION BY w) hi FROM r), x AS (SELECT w, event_type, CASE WHEN row_number() OVER (PARTITION BY w ORDER BY event_type DESC) = 1 THEN 1.0 ELSE hi END hi FROM m), y AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY w ORDER BY event_type), 0) lo FROM x) SELECT e.event_id, y.event_type FROM e JOIN y ON y.w = e.w AND lo <= {lcg_sql('event_id', 23)} AND {lcg_sql('event_id', 23)} < hi")
@@ -159,8 +161,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("simulate_params")
 def _(t: Tables) -> DataFrame:
-    draw = F.floor(lcg(KEY, 31) * 1000).cast("long")
-    edges = [{"name": "p1", "kind": "draw", "draw": draw}, {"name": "p2", "kind": "linear", "of": "p1", "a": 2, "b": 5}, {"name": "p3", "kind": "equal", "of": "p1", "p": 0.75, "draw": F.floor(lcg(KEY, 32) * 1000).cast("long")}]
+    draw = F.floor(lcg(order_key(), 31) * 1000).cast("long")
+    edges = [{"name": "p1", "kind": "draw", "draw": draw}, {"name": "p2", "kind": "linear", "of": "p1", "a": 2, "b": 5}, {"name": "p3", "kind": "equal", "of": "p1", "p": 0.75, "draw": F.floor(lcg(order_key(), 32) * 1000).cast("long")}]
     return S.parameters(t.orders.select("o_orderkey"), "o_orderkey", edges)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import exprs as X
@@ -10,13 +10,12 @@ from tracewright.operators import mining as M
 from tracewright.operators import sessions as S
 from tracewright.plans.base import P_SQL, Tables, numbered_lines, order_params, query
 
-ENDS = F.col("event_type").isin("purchase", "error")
 S_SQL = "s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS \"session\" FROM (SELECT *, coalesce(lag(CAST(event_type IN ('purchase', 'error') AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) b FROM events))"
 EQ_SQL = P_SQL + ", c AS (SELECT a.op op_a, a.idx idx_a, b.op op_b, b.idx idx_b, count(*) n FROM p a JOIN p b USING (tx_id, type, v) WHERE a.rn = 1 AND b.rn = 1 AND (a.op < b.op OR a.op = b.op AND a.idx < b.idx) GROUP BY ALL), x AS (SELECT op, count(DISTINCT tx_id) n_exec FROM p GROUP BY op), pr AS (SELECT op_a, idx_a, op_b, idx_b, n / n_exec prob FROM c JOIN x ON op = op_b WHERE n / n_exec >= 0.01)"
 
 
 def _sessions(t: Tables) -> DataFrame:
-    return S.sessionized(t.events, "user_id", ["ts", "event_id"], ENDS)
+    return S.sessionized(t.events, "user_id", ["ts", "event_id"], F.col("event_type").isin("purchase", "error"))
 
 
 def _prob(p: DataFrame) -> DataFrame:
@@ -163,24 +162,27 @@ def _(t: Tables) -> DataFrame:
 
 
 _PAIRS_SQL = P_SQL + ", k AS (SELECT tx_id, op, idx, v % 4 part, count(*) n FROM p WHERE op = 2 AND idx = 2 GROUP BY ALL), per AS (SELECT tx_id, op, idx, sum(n) t, sum(n * (n - 1) // 2) eq FROM k GROUP BY ALL)"
-SUPPLIER = X.hash_partition(F.col("v"), 4)
+
+
+def supplier_part() -> Column:
+    return X.hash_partition(F.col("v"), 4)
 
 
 @query("dep_part_eq", f"WITH {_PAIRS_SQL} SELECT op, idx, CAST(sum(eq) AS BIGINT) n_pairs FROM per GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), SUPPLIER, True)
+    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), supplier_part(), True)
 
 
 @query("dep_part_ne", f"WITH {_PAIRS_SQL} SELECT op, idx, CAST(sum(t * (t - 1) // 2 - eq) AS BIGINT) n_pairs FROM per GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), SUPPLIER, False)
+    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), supplier_part(), False)
 
 
 @query("dep_part_select")
 def _(t: Tables) -> DataFrame:
     p = order_params(t)
     own = p.where("op = 2 and idx = 2")
-    rate = M.partition_counts(own, SUPPLIER, False).join(M.exec_pairs(own).withColumnRenamed("n_pairs", "d"), "op")
+    rate = M.partition_counts(own, supplier_part(), False).join(M.exec_pairs(own).withColumnRenamed("n_pairs", "d"), "op")
     more = rate.select(F.col("op").alias("op_a"), F.col("idx").alias("idx_a"), F.col("op").alias("op_b"), F.col("idx").alias("idx_b"), (F.col("n_pairs") / F.col("d")).alias("prob"), F.lit("part_ne").alias("kind"))
     return M.merged_edges(M.selected_edges(_candidates(t)).withColumn("kind", F.lit("equal")), more)
 
@@ -188,7 +190,7 @@ def _(t: Tables) -> DataFrame:
 @query("partition_cardinality", "WITH n AS (SELECT o_orderkey, count(DISTINCT l_suppkey % 4) partitions FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT partitions, round(count(*) / (SELECT count(*) FROM n), 6) AS \"share\" FROM n WHERE partitions > 0 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     p = order_params(t)
-    part = F.when((F.col("op") == 2) & (F.col("idx") == 2), SUPPLIER)
+    part = F.when((F.col("op") == 2) & (F.col("idx") == 2), supplier_part())
     return M.partition_cardinality(p, part).withColumn("share", F.round("share", 6))
 
 
