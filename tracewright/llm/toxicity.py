@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import document_columns, held_out
+from tracewright.llm.common import document_columns, held_out, written
 
 # Letters of other scripts and the Latin letters they look like.
 HOMOGLYPHS = {
@@ -126,7 +126,7 @@ def _contexts(folded: str) -> dict[str, str]:
     return dict(zip(reversed(words), reversed(["", *words[:-1]]), strict=True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candidates: int = 20_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candidates: int = 50_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold.
 
     Candidates are the word beginnings of toxic sample texts with more support than
@@ -143,14 +143,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candi
     )
     # at most max_train rows of two numbers, so a broadcast of known size
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
-    rows = rows.repartition(max(2, min(64, max_train // 500)))
+    rows = written(rows, "toxicity-sample")
 
     def toxic_prefixes(batches):
         for b in batches:
             n: Counter = Counter()
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if y:
-                    n.update(_prefixes(fold(t)))
+            for t in b.column(0).to_pylist():
+                n.update(_prefixes(fold(t)))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
 
     totals = {r.toxic > 0: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -159,14 +158,31 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candi
         return Lexicon(exceptions=tuple(fold(x).strip() for x in exceptions))
     # so that fewer than one candidate in all has this support by chance
     least = max(2, math.ceil(math.log(2 * max_candidates) / math.log(1 / min(0.5, n_toxic / (n_toxic + n_clean)))))
-    found = rows.mapInArrow(toxic_prefixes, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, 3))
-    candidates = [r.term for r in found.orderBy(F.desc("n"), "term").limit(max_candidates).collect()]
+    found = rows.where("toxic > 0").select("text").mapInArrow(toxic_prefixes, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, 3))
+    support = {r.term: r.n for r in found.orderBy(F.desc("n"), "term").limit(max_candidates).collect()}
+    candidates = list(support)
+    index = {t: k for k, t in enumerate(candidates)}
+
+    def clean_counts(batches):
+        for b in batches:
+            n: Counter = Counter()
+            for t in b.column(0).to_pylist():
+                n.update({index[p] for p in _prefixes(fold(t)) if p in index})
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["k", "n"])
+
+    clean = np.zeros(len(candidates))
+    for r in rows.where("toxic <= 0").select("text").mapInArrow(clean_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        clean[r.k] = r.n
+    fine = 5.0 * n_toxic / max(1, n_clean)
+    # what clean texts hold as often goes; the rest is a small list
+    rare = np.flatnonzero(np.array([support[t] for t in candidates]) - fine * clean >= min(least, 3)) if candidates else []
+    candidates, clean = [candidates[k] for k in rare], clean[rare]
     index = {t: k for k, t in enumerate(candidates)}
 
     def incidence(batches):
         for b in batches:
-            ids, after, grown, ys, n = [], [], [], [], Counter()
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            out: list[list[bytes]] = [[], [], []]
+            for t in b.column(0).to_pylist():
                 before = _contexts(fold(t))
                 has, many = {}, Counter()
                 for w in before:
@@ -174,40 +190,25 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candi
                         if (k := index.get(p)) is not None:
                             has[k] = w
                             many[k] += 1
-                if y:
-                    ids.append(list(has))
-                    grown.append([many[k] for k in has])
-                    after.append([zlib.crc32(before[w].encode()) & 0xFFFF for w in has.values()])
-                    ys.append(0)
-                else:
-                    n.update(has.keys())
-            ids += [[k] for k in n]
-            after += [[] for _ in n]
-            grown += [[] for _ in n]
-            ys += list(n.values())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(after, pa.list_(pa.int32())), pa.array(grown, pa.list_(pa.int32())), pa.array(ys, pa.int64())], ["ids", "after", "grown", "n_clean"])
+                out[0].append(np.array(list(has), np.int32).tobytes())
+                out[1].append(np.array([zlib.crc32(before[w].encode()) & 0xFFFF for w in has.values()], np.int32).tobytes())
+                out[2].append(np.array([many[k] for k in has], np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["ids", "after", "grown"])
 
-    clean = np.zeros(len(candidates))
-    of: list[list[int]] = []
+    of: list[np.ndarray] = []
     places: dict[int, set[int]] = {}
-    words = np.zeros(len(candidates))
-    for r in rows.mapInArrow(incidence, "ids array<int>, after array<int>, grown array<int>, n_clean long").collect():
-        if r.n_clean:
-            clean[r.ids[0]] += r.n_clean
-        elif r.ids:
-            of.append(r.ids)
-            words[r.ids] += r.grown
-            for k, w in zip(r.ids, r.after, strict=True):
-                places.setdefault(k, set()).add(w)
-    gain = np.zeros(len(candidates))
+    words, gain = np.zeros(len(candidates)), np.zeros(len(candidates))
     docs_of: dict[int, list[int]] = {}
-    for d, ids in enumerate(of):
+    for r in rows.where("toxic > 0").select("text").mapInArrow(incidence, "ids binary, after binary, grown binary").collect():
+        ids, after, grown = (np.frombuffer(x, np.int32) for x in (r.ids, r.after, r.grown))
+        words[ids] += grown
         gain[ids] += 1
-        for k in ids:
-            docs_of.setdefault(k, []).append(d)
+        for k, w in zip(ids.tolist(), after.tolist(), strict=True):
+            places.setdefault(k, set()).add(w)
+            docs_of.setdefault(k, []).append(len(of))
+        of.append(ids)
     total = gain.copy()
     length = np.array([len(t) for t in candidates])
-    fine = 5.0 * n_toxic / max(1, n_clean)
     varied = np.array([len(places.get(k, ())) >= 0.2 * total[k] for k in range(len(candidates))], dtype=bool)
     # a stem that many words grow from needs fewer texts
     open_ = varied & ((total - fine * clean >= least) | (clean == 0) & (total >= 3) & (words >= 2 * least))
