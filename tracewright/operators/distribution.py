@@ -14,19 +14,38 @@ def value_counts(df: DataFrame, by: list[str], v: str) -> DataFrame:
     return df.groupBy(*by, F.col(v).alias("v")).agg(F.count("*").alias("n"))
 
 
-def ranked(counts: DataFrame, by: list[str]) -> DataFrame:
-    """rank of each value by count, the smaller value first on ties."""
-    return counts.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "v")))
+def with_totals(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Each value with its group's rows __t and least and greatest value __lo and __hi: one
+    small aggregate, joined back."""
+    return joined_totals(counts, totals(counts, by), by)
+
+
+def totals(counts: DataFrame, by: list[str]) -> DataFrame:
+    return counts.groupBy(*by).agg(F.sum("n").alias("__t"), F.min("v").alias("__lo"), F.max("v").alias("__hi"))
+
+
+def joined_totals(counts: DataFrame, t: DataFrame, by: list[str]) -> DataFrame:
+    return counts.join(t, by) if by else counts.crossJoin(F.broadcast(t))
 
 
 def top_values(counts: DataFrame, by: list[str], h: int) -> DataFrame:
-    """The h most frequent values of each group with their share of its rows."""
-    total = F.sum("n").over(W.partitionBy(*by))
-    return ranked(counts.withColumn("__t", total), by).where(F.col("rank") <= h).select(*by, "rank", "v", "n", (F.col("n") / F.col("__t")).alias("freq"))
+    """The h most frequent values of each group, the smaller value first on ties, with their
+    share of its rows. Each task keeps only its own first h of a group before the shuffle."""
+    order = [F.desc("n"), F.col("v")]
+    rows = with_totals(counts, by)
+    if not by:
+        rows = rows.orderBy(*order).limit(h)
+    top = rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= h)
+    return top.select(*by, "rank", "v", "n", (F.col("n") / F.col("__t")).alias("freq"))
+
+
+def with_rank(counts: DataFrame, by: list[str], h: int) -> DataFrame:
+    """rank of the h most frequent values, null of the others."""
+    return counts.join(top_values(counts, by, h).select(*by, "v", "rank"), [*by, "v"], "left")
 
 
 def without_top(counts: DataFrame, by: list[str], h: int) -> DataFrame:
-    return ranked(counts, by).where(F.col("rank") > h).drop("rank")
+    return counts.join(top_values(counts, by, h).select(*by, "v"), [*by, "v"], "left_anti") if h else counts
 
 
 def bucket(v: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -36,9 +55,8 @@ def bucket(v: Column, lo: Column, hi: Column, n: int) -> Column:
 
 def bucketed(counts: DataFrame, by: list[str], n: int, h: int = 0) -> DataFrame:
     """Counts of the values behind the top h with their bucket; the buckets span all values."""
-    w = W.partitionBy(*by)
-    spanned = counts.withColumn("__lo", F.min("v").over(w)).withColumn("__hi", F.max("v").over(w)).withColumn("__t", F.sum("n").over(w))
-    return without_top(spanned, by, h).withColumn("bucket", bucket(F.col("v").cast("double"), F.col("__lo"), F.col("__hi"), n))
+    spanned = joined_totals(without_top(counts, by, h), totals(counts, by), by)
+    return spanned.withColumn("bucket", bucket(F.col("v").cast("double"), F.col("__lo"), F.col("__hi"), n))
 
 
 def histogram(counts: DataFrame, by: list[str], n: int, h: int = 0) -> DataFrame:
@@ -145,8 +163,9 @@ def similarity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def multi_histogram(df: DataFrame, columns: dict[str, Column], h: int) -> DataFrame:
     """The most frequent cells of several columns' buckets together."""
-    cells = df.groupBy(*[c.alias(n) for n, c in columns.items()]).agg(F.count("*").alias("n"))
-    return cells.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), *columns))).where(F.col("rank") <= h)
+    order = [F.desc("n"), *map(F.col, columns)]
+    cells = df.groupBy(*[c.alias(n) for n, c in columns.items()]).agg(F.count("*").alias("n")).orderBy(*order).limit(h)
+    return cells.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def percentile_ranks(df: DataFrame, by: list[str], v: str, ps: list[float]) -> DataFrame:

@@ -98,5 +98,6 @@ def next_candidates(prior: DataFrame, domain: DataFrame, keep: int, size: int) -
     """The candidates of a window: the first keep of the prior window and, behind them, values
     of the domain that were no candidates, up to size. prior: place and v; domain: v."""
     kept = prior.where(F.col("place") < keep).select("place", "v", F.lit(True).alias("reused"))
-    fresh = domain.join(prior, "v", "left_anti").withColumn("place", F.row_number().over(W.orderBy(F.xxhash64("v"), "v")) + keep - 1)
-    return kept.unionByName(fresh.where(F.col("place") < size).select("place", "v", F.lit(False).alias("reused")))
+    order = [F.xxhash64("v"), F.col("v")]
+    fresh = domain.join(prior, "v", "left_anti").orderBy(*order).limit(size - keep).withColumn("place", F.row_number().over(W.orderBy(*order)) + keep - 1)
+    return kept.unionByName(fresh.select("place", "v", F.lit(False).alias("reused")))

@@ -70,8 +70,8 @@ TOP_SQL = "q AS (SELECT l_suppkey v, count(*) n FROM lineitem GROUP BY 1), r AS
 
 def _cdf(t: Tables) -> DataFrame:
     """Ten heavy hitters and five buckets of the rest."""
-    r = D.ranked(D.value_counts(t.lineitem, [], "l_suppkey"), [])
-    slot = F.when(F.col("rank") <= H, F.col("rank")).otherwise(11 + (F.col("v") % 5).cast("int"))
+    r = D.with_rank(D.value_counts(t.lineitem, [], "l_suppkey"), [], H)
+    slot = F.when(F.col("rank").isNotNull(), F.col("rank")).otherwise(11 + (F.col("v") % 5).cast("int"))
     b = r.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("ndv"))
     return D.cdf(b.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy())), [], "slot", "p")
 
@@ -94,8 +94,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("gen_partition", f"WITH {TOP_SQL.replace('FROM lineitem', 'FROM lineitem WHERE l_suppkey % 4 = 1')} SELECT o_orderkey, slot FROM orders JOIN c ON lo <= {lcg_sql('o_orderkey', 13)} AND {lcg_sql('o_orderkey', 13)} < hi")
 def _(t: Tables) -> DataFrame:
-    r = D.ranked(D.value_counts(t.lineitem.where("l_suppkey % 4 = 1"), [], "l_suppkey"), [])
-    slot = F.when(F.col("rank") <= H, F.col("rank")).otherwise(11 + (F.col("v") % 5).cast("int"))
+    r = D.with_rank(D.value_counts(t.lineitem.where("l_suppkey % 4 = 1"), [], "l_suppkey"), [], H)
+    slot = F.when(F.col("rank").isNotNull(), F.col("rank")).otherwise(11 + (F.col("v") % 5).cast("int"))
     b = r.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
     c = D.cdf(b.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy())), [], "slot", "p")
     return G.sampled(t.orders, lcg(order_key(), 13), c, ["slot"]).select("o_orderkey", "slot")
@@ -118,14 +118,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("gen_seq_int")
 def _(t: Tables) -> DataFrame:
-    w = D.ranked(_counts(t).where("w = 4"), []).select((F.col("rank") - 1).alias("place"), "v")
+    w = D.top_values(_counts(t).where("w = 4"), [], 60).select((F.col("rank") - 1).alias("place"), "v")
     return G.next_candidates(w, t.events.select(F.col("user_id").alias("v")).distinct(), 20, 60)
 
 
 @query("gen_seq_varchar")
 def _(t: Tables) -> DataFrame:
     d = D.value_counts(t.part, [], "p_name")
-    prior = D.ranked(d, []).where("rank <= 50").select((F.col("rank") - 1).alias("place"), "v")
+    prior = D.top_values(d, [], 50).select((F.col("rank") - 1).alias("place"), "v")
     return G.next_candidates(prior, d.select("v"), 15, 45)
 
 
