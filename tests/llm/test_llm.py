@@ -267,6 +267,7 @@ def test_line_dedup_against_brute_force(spark):
         rows.append((d, "\n".join(lines[:at] + (r.choice(passages) if d % 2 else []) + lines[at:])))
     got = linechunks.remove_repeated(documents(spark, [t for _, t in rows], 0))
     assert {x.doc_id: x.text for x in got.collect()} == brute_lines(rows)
+    assert {x.doc_id: x.text for x in linechunks.remove_repeated(documents(spark, [t for _, t in rows], 0), broadcast_places=0).collect()} == brute_lines(rows)
     assert got.where("n_removed > 0").count() > 20 and got.where("n_removed > 0 and n_chars <> length(text)").count() == 0
 
 
