@@ -109,6 +109,11 @@ def _batch_rows(sets: dict[bytes, np.ndarray], cut: Fragments) -> list[tuple]:
             t, w = tokens[p[f] : p[f + 1]], who[p[f] : p[f + 1]]
             order = np.argsort(w, kind="stable")
             rows.append((f, key, 0, cut.pack(f, t[order]) + cut.pack(f, hot[h[f] : h[f + 1]]), _counts(w, len(fps)), hot_n[h[f] : h[f + 1]].astype("<i4").tobytes()))
+    # equal sets of several batches: the fragment of a set's fingerprint says whose it is
+    home: dict[int, list[int]] = {}
+    for k, fp in enumerate(fps):
+        home.setdefault(int.from_bytes(fp[:4], "big") % cut.n, []).append(k)
+    rows += [(f, key, 3, b"".join(fps[k] for k in ks), np.array(ks, "<i4").tobytes(), b"") for f, ks in home.items()]
     again = cut.whole(mine) if len(mine) else mine
     rows.append((int.from_bytes(key[:4], "big") % cut.n, key, 1, b"".join(fps) + sizes.tobytes(), again.tobytes(), my_who.tobytes()))
     return rows
@@ -119,9 +124,10 @@ def _counts(who: np.ndarray, n: int) -> bytes:
 
 
 def _segments(docs: DataFrame, fragments: int) -> DataFrame:
-    """One row for each batch of documents and fragment: kind 0 has n-grams, by holder, and
+    """Rows for each batch of documents and fragment: kind 0 has n-grams, by holder, and
     how many each set of the batch holds, then frequent n-grams and their counts; kind 1
-    (one a batch) the fingerprints and sizes, with the holders of frequent n-grams."""
+    (one a batch) the fingerprints and sizes, with the holders of frequent n-grams; kind 3
+    the fingerprints that are compared in this fragment, and their places."""
 
     def run(batches):
         cut = Fragments(fragments)
@@ -146,9 +152,20 @@ def _segments(docs: DataFrame, fragments: int) -> DataFrame:
 
 def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     """A fragment: its n-grams that several sets have, by batch, with their counts. Rows of
-    kind 1 pass. Kind 0 goes out with freq for the plain n-grams, kind 2 for frequent ones."""
+    kind 1 pass. Kind 0 goes out with freq for the plain n-grams, kind 2 for frequent ones,
+    kind 4 with the places of sets that the batch of least key stands for."""
     meta, own = rows[rows.kind == 1], rows[rows.kind == 0]
     out = [tuple(r) for r in meta.itertuples(index=False)]
+    owner: dict[bytes, bytes] = {}
+    homes = rows[rows.kind == 3]
+    for key, fps in zip(homes.batch, homes.tokens, strict=True):
+        for k in range(0, len(fps), 16):
+            fp = fps[k : k + 16]
+            owner[fp] = min(key, owner.get(fp, key))
+    for key, fps, places in zip(homes.batch, homes.tokens, homes.who, strict=True):
+        other = [places[k // 4 : k // 4 + 4] for k in range(0, len(fps), 16) if owner[fps[k : k + 16]] != key]
+        if other:
+            out.append((0, key, 4, b"", b"".join(other), b""))
     # six bytes an n-gram are compared as they are
     tokens = [np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel() for x in own.tokens]
     held = [np.frombuffer(x, "<u4") for x in own.who]
@@ -203,6 +220,8 @@ def _ordered(cut: Fragments, rows: pd.DataFrame) -> pd.DataFrame:
         t, w, d = np.concatenate(tokens), np.concatenate(who), np.concatenate(df)
         shared = np.bincount(w, minlength=n_sets)
         left = prefix_length(sizes) - (sizes - shared)
+        for x in rows[rows.kind == 4].who:
+            left[np.frombuffer(x, "<i4")] = 0
         may = left[w] > 0
         t, w, d = t[may], w[may], d[may]
         order = np.lexsort((t, d, w))
@@ -227,9 +246,8 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     fragments = max(8, math.ceil(n_bytes / FRAGMENT_BYTES))
     counted = _segments(docs, fragments).groupBy("frag").applyInPandas(_counted, _ROW)
     cut = Fragments(fragments)
-    sets = counted.groupBy("batch").applyInPandas(lambda rows: _ordered(cut, rows), "fp binary, n long, own long, p long, tokens array<long>, sketch array<long>")
-    # equal sets of several batches
-    return written(sets.dropDuplicates(["fp"]), "shared-sets")
+    sets = counted.groupBy("batch").applyInPandas(lambda rows: _ordered(cut, rows), "fp binary, n int, own int, p int, tokens array<long>, sketch array<long>")
+    return written(sets, "shared-sets")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -263,19 +281,22 @@ def _alike(a: str, b: str) -> str:
 def set_components(docs: DataFrame) -> DataFrame:
     """(fp, comp) of the sets with links; comp is one of the component's sets."""
     sets = shared_sets(docs)
-    exploded = sets.select("fp", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p").cast("int"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k")
+    exploded = sets.select("fp", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k")
     several = exploded.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    first = written(exploded.join(several, "token", "left_semi"), "first-ngrams")
+    open_rows = written(exploded.join(several, "token", "left_semi"), "first-ngrams")
     comps = links = None
     for leaders in (True, True, False):
         if comps is None:
-            at = first.withColumn("comp", F.col("fp"))
+            at = open_rows.withColumn("comp", F.col("fp"))
         else:
-            at = first.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+            at = open_rows.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         # an n-gram whose holders are in one component has no more to tell
         member = F.struct("comp", "fp", "n", "pos")
         open_ = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x.comp < y.comp")
         at = at.join(open_.select("token"), "token", "left_semi")
+        if comps is not None:
+            at = written(at, "open-ngrams")
+            open_rows = at.drop("comp")
         if leaders:
             to = open_.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", "l.*")
             both = at.alias("a").join(to.alias("b"), "token").where("a.comp <> b.comp").where(_near("a", "b"))
