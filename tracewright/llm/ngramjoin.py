@@ -40,6 +40,8 @@ FREQUENT = 64
 BITS = 48
 #: Fragments in which the overlaps of candidates are counted.
 PARTS = 4
+#: Most candidates whose sets' fingerprints are broadcast; more are joined by shuffle.
+BROADCAST_PAIRS = 500_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 
@@ -257,6 +259,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     edges = [-(1 << 63) + k * width for k in range(PARTS)]
     part = [F.filter("tokens", (lambda lo, hi: lambda t: (t >= lo) & (t <= hi))(lo, lo + width - 1)) for lo in edges]
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    if pairs.count() <= BROADCAST_PAIRS:
+        # 16 bytes a set; the arrays of sets without candidates stay where they are
+        ends = F.broadcast(ends)
     segments = sets.join(ends, "fp", "left_semi").select("fp", "n", F.posexplode(F.array(*part)).alias("g", "seg"))
     left = segments.select(F.col("fp").alias("a"), F.col("n").alias("na"), "g", F.col("seg").alias("sa"))
     right = segments.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "g", F.col("seg").alias("sb"))
@@ -286,16 +291,17 @@ def set_components(docs: DataFrame) -> DataFrame:
     open_rows = written(exploded.join(several, "token", "left_semi"), "first-ngrams")
     comps = links = None
     for leaders in (True, True, False):
+        # an n-gram whose holders are in one component has no more to tell
         if comps is None:
             at = open_rows.withColumn("comp", F.col("fp"))
+            member = F.struct("fp", "n", "pos")
+            open_ = open_rows.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y"))
+            open_ = open_.select("token", *[F.struct(F.col(f"{s}.fp").alias("comp"), f"{s}.fp", f"{s}.n", f"{s}.pos").alias(s) for s in "xy"])
         else:
             at = open_rows.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        # an n-gram whose holders are in one component has no more to tell
-        member = F.struct("comp", "fp", "n", "pos")
-        open_ = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x.comp < y.comp")
-        at = at.join(open_.select("token"), "token", "left_semi")
-        if comps is not None:
-            at = written(at, "open-ngrams")
+            member = F.struct("comp", "fp", "n", "pos")
+            open_ = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x.comp < y.comp")
+            at = written(at.join(open_.select("token"), "token", "left_semi"), "open-ngrams")
             open_rows = at.drop("comp")
         if leaders:
             to = open_.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", "l.*")
