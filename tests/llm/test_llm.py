@@ -361,6 +361,36 @@ def test_lm_scores_against_counting(spark):
     assert lmscore.op6_lm_score(documents(spark, []), labels.limit(0)).count() == 0
 
 
+def test_lm_counts_are_exact_at_any_size(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"v{r.randrange(200_000)}" for _ in range(600)) for _ in range(400)] + ["the same here " * k for k in (1, 5, 90)]
+    docs = documents(spark, [*texts, texts[0]]).union(documents(spark, texts[1:2], 2))
+    labels = spark.createDataFrame([(k + 1, int(k % 3 == 0), 0) for k in range(300)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = [(x.doc_id, x.text) for x in docs.collect()]
+
+    def model(part):
+        one, two, ctx = {}, {}, {}
+        for t in part:
+            w = [None, *t.split()]
+            for a, b in zip(w, w[1:], strict=False):
+                one[b], two[a, b], ctx[a] = one.get(b, 0) + 1, two.get((a, b), 0) + 1, ctx.get(a, 0) + 1
+        return one, two, ctx, sum(one.values())
+
+    background, target = model([t for _, t in rows]), model([t for d, t in rows if d <= 300 and (d - 1) % 3 == 0])
+    assert len(background[0]) > 1 << lmscore.WORD_BITS
+
+    def loss(m, t):
+        w = [None, *t.split()]
+        return np.mean([-np.log2(0.7 * m[1].get((a, b), 0) / max(m[2].get(a, 0), 1) + 0.3 * (m[0].get(b, 0) + 1) / (m[3] + len(background[0]))) for a, b in zip(w, w[1:], strict=False)])
+
+    for options in ({}, {"fragment_chars": 100_000, "broadcast_rows": 0}):
+        got = lmscore.op6_lm_score(docs, labels, **options).collect()
+        assert sorted(x.doc_id for x in got) == sorted(d for d, _ in rows)
+        for x in got[::7] + [x for x in got if x.doc_id == 2]:
+            t = texts[(x.doc_id - 1) % len(texts)]
+            assert x.n_tokens == len(t.split()) and abs(x.target_loss - loss(target, t)) < 1e-9 and abs(x.background_loss - loss(background, t)) < 1e-9
+
+
 def test_shingle_hashes_are_as_many_as_shingles():
     texts = [t for t in ODD] + ["\x0b".join(words(40, 3)), "A a A a A a A a"]
     assert [len(s) for s in shingles.shingle_sets(texts)] == [n for _, n, _ in brute_components(list(enumerate(texts)))]

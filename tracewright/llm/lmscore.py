@@ -1,13 +1,18 @@
 """Cross-entropy difference of two n-gram models (operator 6).
 
-Target and background model share one vocabulary, the values of a fixed hash of words, and
-one form: a bigram model interpolated with a unigram model, which is smoothed by one count
-for each value. The background is counted over all documents, the target over those whose
-label says good quality. A token's loss is minus the log of its probability in bits; a
-document's score is the mean over its tokens of target loss less background loss, so the
-lower, the more it is like the target. Counts are kept per hash value, so the models have
-a fixed size whatever is read, and that size bounds what is sent to the tasks; a pair's
-count may include those of other pairs with its value.
+Target and background model share one vocabulary, the words of all documents, and one form:
+a bigram model interpolated with a unigram model, which is smoothed by one count for each
+word; a vocabulary of fewer than 2^16 words leaves the rest to words never seen. The
+background is counted over all documents, the target over those whose label says good
+quality. A token's loss is minus the log of its probability in bits; a document's score is
+the mean over its tokens of target loss less background loss, so the lower, the more it is
+like the target.
+
+Words stand as 64-bit hashes, and nothing is folded further. Pairs of words are dealt into
+fragments by hash, more of them the longer the texts. A fragment gets each document's own
+pairs, so it can count its pairs itself, and the counts of the words in them from
+the written table of words; it adds up losses by document. Only the sums of counts and
+the size of the vocabulary are known to all tasks.
 """
 
 from __future__ import annotations
@@ -17,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import written
 from tracewright.llm.shingles import joined_hashes, word_hashes
 
-WORD_BITS, PAIR_BITS, WEIGHT = 16, 18, 0.7
+#: Least vocabulary as a power of 2, weight of the bigram model, tokens of a block of documents.
+WORD_BITS, WEIGHT, BLOCK = 16, 0.7, 1 << 20
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -27,92 +34,163 @@ def _words(text: str | None) -> np.ndarray:
 
 
 def _slots(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Vocabulary value of each token, and of each token with the one before; the first
-    token follows a value of its own, 0."""
+    """Hash of each token, and of each token with the one before; the first token follows
+    a value of its own, 0."""
     words = _words(text)
     if not len(words):
         return words.astype(np.int64), words.astype(np.int64)
     pairs = joined_hashes(np.concatenate([np.zeros(1, np.uint64), words]), 2)
-    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    return words.view(np.int64), pairs.view(np.int64)
 
 
 def _contexts(words: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), words[:-1] + 1]) if len(words) else words
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(kind, slot, n): tokens by value (0), pairs by value (1) and tokens by what they
-    follow (2), over all rows. A task sums its own rows before the shuffle."""
+def _blocks(batches, fragments: int):
+    """Keys and flags of the documents of some BLOCK tokens; document of each token; sorted
+    words and -1, and the places in them of each token and of its context, the token before
+    or -1; fragment of each token."""
+    keys: list[int] = []
+    good: list[bool] = []
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def block():
+        n = [len(w) for w, _ in parts]
+        words, pairs = (np.concatenate(x) for x in zip(*parts, strict=True))
+        values, at = np.unique(np.append(words, -1), return_inverse=True)
+        before = np.concatenate([at[-1:], at[:-2]])
+        before[np.cumsum(n[:-1], dtype=np.int64)] = at[-1]
+        f = (pairs.view(np.uint64) % np.uint64(fragments)).astype(np.int64)
+        return np.array(keys, np.int64), np.array(good, bool), np.repeat(np.arange(len(n)), n), values, before, at[:-1], f
+
+    for b in batches:
+        for k, g, text in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            slots = _slots(text)
+            if len(slots[0]):
+                keys.append(k), good.append(g), parts.append(slots)
+                size += len(slots[0])
+                if size >= BLOCK:
+                    yield block()
+                    keys, good, parts, size = [], [], [], 0
+    if parts:
+        yield block()
+
+
+def word_counts(keyed: DataFrame, fragments: int) -> DataFrame:
+    """word, b and t (tokens of all documents and of the good ones), cb and ct (tokens that
+    follow it), fs (the fragments with a pair it is in, or all). Tasks sum their own blocks."""
 
     def run(batches):
-        n = [np.zeros(1 << WORD_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.int64), np.zeros((1 << WORD_BITS) + 1, np.int64)]
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                w, p = _slots(t)
-                for x, slots in zip(n, (w, p, _contexts(w)), strict=True):
-                    np.add.at(x, slots, 1)
-        for kind, x in enumerate(n):
-            at = np.flatnonzero(x)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(x[part])], ["kind", "slot", "n"])
-
-    return docs.select("text").where("text is not null").mapInArrow(run, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Counts in arrays of fixed size, from an Arrow table of counts."""
-
-    def __init__(self, rows: pa.Table):
-        kinds, slots, n = (rows[c].to_numpy() for c in ("kind", "slot", "n"))
-        self.words = np.zeros(1 << WORD_BITS, np.int64)
-        self.pairs = np.zeros(1 << PAIR_BITS, np.int64)
-        self.contexts = np.zeros((1 << WORD_BITS) + 1, np.int64)
-        for kind, x in enumerate((self.words, self.pairs, self.contexts)):
-            x[slots[kinds == kind]] = n[kinds == kind]
-        self.total = int(self.words.sum())
-
-    def losses(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        one = (self.words[words] + 1) / (self.total + len(self.words))
-        context = self.contexts[_contexts(words)]
-        two = np.minimum(self.pairs[pairs], context) / np.maximum(context, 1)
-        return -np.log2(WEIGHT * two + (1 - WEIGHT) * one)
-
-
-def models(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
-    """Target and background. At most 2^18 + 2^17 + 1 numbers of each come to the driver."""
-    target = docs.select("doc_id", "text").join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    return Model(counts(target).toArrow()), Model(counts(docs).toArrow())
-
-
-def score(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((target, background))
-    src = docs.select("doc_id", F.col("text").alias("__text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
+        for _, good, doc, values, before, at, f in _blocks(batches, fragments):
+            size, weight = len(values), good[doc]
+            cols = [np.bincount(i, w, size).astype(np.int64) for i in (at, before) for w in (None, weight)]
+            common = cols[0] + cols[2] >= 2 * fragments
+            near = [i[~common[i]] * fragments + f[~common[i]] for i in (before, at)]
+            asked = np.unique(np.concatenate(near))
+            ends = np.searchsorted(asked, np.arange(size + 1) * fragments)
+            cols = [pa.array(x) for x in (values, *cols, common)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((asked % fragments).astype(np.int32)))]
+            whole = pa.RecordBatch.from_arrays(cols, ["word", *names, "common", "fs"])
+            for lo in range(0, size, 1 << 16):
+                yield whole.slice(lo, 1 << 16)
 
-    def run(batches):
-        t, g = sent.value
-        for b in batches:
-            out: list[tuple] = []
-            for text in b.column(1).to_pylist():
-                w, p = _slots(text)
-                if len(w):
-                    a, c = t.losses(w, p), g.losses(w, p)
-                    out.append((len(w), float(a.mean()), float(c.mean()), float((a - c).mean())))
-                else:
-                    out.append((0, None, None, None))
-            cols = zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in cols]], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+    names = ["b", "t", "cb", "ct"]
+    rows = keyed.mapInArrow(run, "word long, b long, t long, cb long, ct long, common boolean, fs array<int>")
+    fs = F.when(F.bool_or("common"), F.sequence(F.lit(0), F.lit(fragments - 1))).otherwise(F.array_distinct(F.flatten(F.collect_list("fs"))))
+    return rows.groupBy("word").agg(*[F.sum(c).alias(c) for c in names], fs.alias("fs"))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers under 2^32, byte by byte of all of them, so that high zeros compress away."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def op6_lm_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+
+def packed_pairs(keyed: DataFrame, fragments: int) -> DataFrame:
+    """For each block of documents and fragment: keys and flags of the documents, distinct
+    words and pairs (context and word as places in words), and the pairs of each document."""
+
+    def run(batches):
+        for keys, good, doc, values, before, at, f in _blocks(batches, fragments):
+            order = np.argsort(f, kind="stable")
+            edges = np.searchsorted(f[order], np.arange(fragments + 1))
+            place, rows = np.zeros(len(values), np.int64), []
+            for k in np.flatnonzero(np.diff(edges)):
+                mine = order[edges[k] : edges[k + 1]]
+                used = np.unique(np.concatenate([before[mine], at[mine]]))
+                place[used] = np.arange(len(used))
+                pair, p = np.unique(place[before[mine]] * len(used) + place[at[mine]], return_inverse=True)
+                docs, many = np.unique(doc[mine], return_counts=True)
+                rows.append((k, keys[docs].tobytes(), _pack(good[docs]), _pack(many), values[used].tobytes(), _pack(pair // len(used)), _pack(pair % len(used)), _pack(p)))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["f", *names])
+
+    names = ["keys", "good", "many", "words", "contexts", "seconds", "pairs"]
+    return keyed.mapInArrow(run, "f int, " + ", ".join(f"{c} binary" for c in names))
+
+
+def _losses(pairs: np.ndarray, contexts: np.ndarray, words: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    return -np.log2(WEIGHT * pairs / np.maximum(contexts, 1) + (1 - WEIGHT) * (words + 1) / (total + vocabulary))
+
+
+def _scored(blocks: pa.Table, counts: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
+    """key, n (tokens), t and b (sums of target and background losses) by document of a fragment."""
+    background, target, vocabulary = totals
+    word = counts["word"].to_numpy()
+    order = np.argsort(word)
+    word = word[order]
+    b, t, cb, ct = (counts[c].to_numpy()[order] for c in ("b", "t", "cb", "ct"))
+    rows, codes, n_all, n_good = [], [], [], []
+    for r in blocks.to_pylist():
+        place = np.searchsorted(word, np.frombuffer(r["words"], np.int64))
+        codes.append(place[_unpack(r["contexts"])] * len(word) + place[_unpack(r["seconds"])])
+        keys, good, many, p = np.frombuffer(r["keys"], np.int64), *(_unpack(r[c]) for c in ("good", "many", "pairs"))
+        doc = np.repeat(np.arange(len(keys)), many)
+        n_all.append(np.bincount(p, minlength=len(codes[-1])))
+        n_good.append(np.bincount(p, good[doc], len(codes[-1])))
+        rows.append((keys, many, doc, p))
+    code, at = np.unique(np.concatenate(codes), return_inverse=True)
+    first, second = code // len(word), code % len(word)
+    lt = _losses(np.bincount(at, np.concatenate(n_good)), ct[first], t[second], target, vocabulary)
+    lb = _losses(np.bincount(at, np.concatenate(n_all)), cb[first], b[second], background, vocabulary)
+    out, lo = [], 0
+    for (keys, many, doc, p), c in zip(rows, codes, strict=True):
+        mine = at[lo : lo + len(c)][p]
+        lo += len(c)
+        out.append((keys, many, np.bincount(doc, lt[mine]), np.bincount(doc, lb[mine])))
+    return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["key", "n", "t", "b"])
+
+
+def op6_lm_score(docs: DataFrame, labels: DataFrame, fragment_chars: int = 16_000_000, broadcast_rows: int = 4_000_000) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score of every row.
 
     Words are runs of other than white space, A-Z in lower case. Texts without words, null
     ones among them, have no tokens and null losses. Several labels of an id count once if
     one is good; without any good label the target knows nothing and all its tokens have
     the same loss. Rows that repeat are counted and scored as often as they stand."""
-    return score(docs, *models(docs, labels.where("quality = 1")))
+    src = docs.select("doc_id", F.col("text").alias("__text")).withColumn("__key", F.xxhash64("doc_id", "__text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id", F.lit(True).alias("__good")).distinct()
+    good = F.broadcast(good) if good.count() <= broadcast_rows else good
+    keyed = src.where("__text is not null").join(good, "doc_id", "left").select("__key", F.coalesce("__good", F.lit(False)).alias("__good"), "__text")
+    fragments = 1 + (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // fragment_chars
+
+    counts = written(word_counts(keyed, fragments), "lm-words")
+    totals = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("b") > 0)).first()
+    totals = (totals[0], totals[1], max(totals[2], 1 << WORD_BITS))
+    asked = counts.select(F.explode("fs").alias("f"), "word", "b", "t", "cb", "ct")
+    sums = packed_pairs(keyed, fragments).groupBy("f").cogroup(asked.groupBy("f")).applyInArrow(lambda x, y: _scored(x, y, totals), "key long, n long, t double, b double")
+    # rows that repeat share a key: their sums and n grow alike
+    scores = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in "ntb"])
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(_words(x)) for x in b.column(2).to_pylist()], pa.int64())], ["doc_id", "key", "n_tokens"])
+
+    sized = src.select("doc_id", "__key", "__text").mapInArrow(sizes, f"doc_id {kind}, key long, n_tokens long")
+    t, b = F.col("t") / F.col("n"), F.col("b") / F.col("n")
+    return sized.join(scores, "key", "left").select("doc_id", "n_tokens", t.alias("target_loss"), b.alias("background_loss"), (t - b).alias("score"))
