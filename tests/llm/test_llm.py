@@ -271,6 +271,25 @@ def test_line_dedup_against_brute_force(spark):
     assert got.where("n_removed > 0").count() > 20 and got.where("n_removed > 0 and n_chars <> length(text)").count() == 0
 
 
+def test_planted_passages_go_whole(spark):
+    texts, want = [], []
+    for k in range(60):
+        passage = [" ".join(words(9, 70_000 + 20 * k + j, 9000)) for j in range(4 + k % 9)]
+        if k % 6 == 5:
+            passage = [" ".join(passage)] if len(passage) > 5 else ["\n\n".join(passage)]
+        for copy in range(2):
+            around = [[" ".join(words(9, 200_000 + 100 * k + 50 * copy + 25 * side + j, 9000)) for j in range(3)] for side in (0, 1)]
+            texts.append("\n".join([*around[0], *passage, *around[1]]))
+            want.append("\n".join([*around[0], *([] if copy else passage), *around[1]]))
+    for places in (1_000_000, 0):
+        got = {r.doc_id: r.text for r in linechunks.remove_passages(documents(spark, texts), places).collect()}
+        assert [got[k] for k in range(1, len(texts) + 1)] == want
+    lines = {r.doc_id: r.n_lines for r in linechunks.op2_line_dedup(documents(spark, texts)).collect()}
+    assert [lines[k] for k in range(1, len(texts) + 1)] == [len(t.split("\n")) for t in want]
+    same = linechunks.remove_passages(documents(spark, ["x y\nx y\nx y\nx y", "p\nq", "p\nr"])).orderBy("doc_id").collect()
+    assert [r.text for r in same] == ["x y", "p\nq", "p\nr"]
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(300)]
     ends = {lines[hi - 1] for _, hi in linechunks.chunks(lines)}
