@@ -350,6 +350,31 @@ def test_licences_against_brute_force(spark):
     assert licences.op5_licences(documents(spark, [])).count() == 0
 
 
+def test_licences_inside_lines(spark):
+    r, templates = random.Random(12), licences.TEMPLATES
+    forms = [(n, f) for n, fs in templates.items() for f in fs]
+    texts = ["Docs: Licensed under CC BY 4.0 as stated in the file.", "one line " * 3000 + forms[3][1] + " tail" * 3000, "a b\nfoo Licensed under\nCC BY 4.0 bar"]
+    for k in range(25):
+        w = r.choice(forms)[1].split(" ")[:30]
+        w[r.randrange(len(w))] = r.choice(["other", "the", "License"])
+        texts.append(" ".join([*words(4, k), *w, *words(5, k + 50)]))
+    s = licences.Scanner(templates)
+    for x in [*texts[:1], *texts[2:]]:
+        want, w = {}, licences.words(x)
+        for lo in range(len(w)):
+            for hi in range(lo + 1, len(w) + 1):
+                grams = licences.bigrams(w[lo:hi])
+                for name, form in forms:
+                    d = licences.dice(grams, licences.bigrams(licences.words(form)))
+                    if d >= licences.THRESHOLD:
+                        want[name] = max(want.get(name, 0), d)
+        assert {n: round(d, 9) for n, d, _, _ in s.scan_words(x)} == {n: round(d, 9) for n, d in want.items()}, x
+    got = {x.doc_id: x for x in licences.op5_licences(documents(spark, texts)).collect()}
+    assert (got[1].best, got[1].dice, got[2].best, got[2].dice) == ("CC-BY-4.0", 1.0, forms[3][0], 1.0)
+    assert (got[3].best, got[3].first_line, got[3].last_line) == ("CC-BY-4.0", 1, 2)
+    assert licences.Scanner({"x": ["solo"]}).scan_words("a\nb solo c") == [("x", 1.0, 1, 1)]
+
+
 def test_lm_scores_against_counting(spark):
     texts = [" ".join(words(30, k, 40)) for k in range(40)] + [" ".join(words(30, k, 4000)) for k in range(40)]
     docs = documents(spark, texts)

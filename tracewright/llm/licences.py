@@ -2,14 +2,16 @@
 
 Text and templates are lower-cased words. A template is compared by the Dice coefficient
 over word bigrams (twice the common ones over the sum of both counts, as multisets) with
-windows of consecutive lines. A window of w bigrams can only reach the threshold t with
-templates of between t w / (2 - t) and (2 - t) w / t bigrams, which leaves few templates
-and ends a window once it is too long for all. Windows begin and end with lines that
-have part in a bigram of some template.
+windows of words, wherever they stand in lines. A window of w bigrams can only reach the
+threshold t with templates of between t w / (2 - t) and (2 - t) w / t bigrams, and has
+t m / (2 - t) of a template's m bigrams at least. The best windows begin and end with a
+bigram of the template, so only places where so many are near each other are looked at.
+Windows of whole lines (scan) are kept beside them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
@@ -70,6 +72,11 @@ class Scanner:
         self.forms, self.sizes = forms, [sum(f[0].values()) for f in forms]
         self.known = {g for f, _ in forms for g in f}
         self.words = {g[0] for g in self.known}
+        self.using: dict[tuple[str, str], list[int]] = {}
+        for k, (f, _) in enumerate(forms):
+            for g in f:
+                self.using.setdefault(g, []).append(k)
+        self.single = {g[0]: ks for g, ks in self.using.items() if not g[1]}
         self.longest = max(self.sizes, default=0) * (2 - threshold) / threshold
 
     def fitting(self, n: int) -> list[tuple[Counter, str]]:
@@ -114,6 +121,52 @@ class Scanner:
                         best[name] = (name, d, lo, hi)
         return sorted(best.values(), key=lambda b: (-b[1], b[0]))
 
+    def scan_words(self, text: str | None) -> list[tuple[str, float, int, int]]:
+        """(licence, Dice, first line, last line) of the best window of words of each licence;
+        of equal ones the first and shortest."""
+        if not text or not self.forms:
+            return []
+        ws: list[str] = []
+        line: list[int] = []
+        for k, x in enumerate(text.lower().split("\n")):
+            found = WORD.findall(x)
+            ws += found
+            line += [k] * len(found)
+        pairs = list(zip(ws, ws[1:], strict=False))
+        known, at = self.known, {}
+        for k, g in enumerate(pairs):
+            if g in known:
+                for f in self.using[g]:
+                    at.setdefault(f, []).append(k)
+        best: dict[str, tuple[float, int, int]] = {}
+
+        def better(name: str, d: float, lo: int, hi: int) -> None:
+            best[name] = min(best.get(name, (0.0, 0, 0)), (-d, lo, hi))
+
+        for k, w in enumerate(ws if self.single else ()):
+            for f in self.single.get(w, ()):
+                better(self.forms[f][1], 1.0, k, k)
+        for f, places in at.items():
+            (form, name), m = self.forms[f], self.sizes[f]
+            need, most = math.ceil(self.t * m / (2 - self.t) - 1e-9), (2 - self.t) * m / self.t + 1e-9
+            for i in range(len(places) - need + 1):
+                lo = places[i]
+                if places[i + need - 1] - lo + 1 > most:
+                    continue
+                seen: dict[tuple[str, str], int] = {}
+                common = 0
+                for k in range(i, len(places)):
+                    n = places[k] - lo + 1
+                    if n > most:
+                        break
+                    g = pairs[places[k]]
+                    seen[g] = seen.get(g, 0) + 1
+                    common += seen[g] <= form[g]
+                    d = 2 * common / (n + m)
+                    if d >= self.t:
+                        better(name, d, lo, places[k] + 1)
+        return sorted(((name, -d, line[lo], line[hi]) for name, (d, lo, hi) in best.items()), key=lambda b: (-b[1], b[0]))
+
 
 def op5_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_licences, licences (sorted), best, dice, first_line and last_line of every row.
@@ -127,7 +180,7 @@ def op5_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None,
     def run(batches):
         scanner = Scanner(templates, threshold)
         for b in batches:
-            found = [scanner.scan(t) for t in b.column(1).to_pylist()]
+            found = [scanner.scan_words(t) for t in b.column(1).to_pylist()]
             top = [f[0] if f else (None, None, None, None) for f in found]
             cols = [b.column(0), pa.array([len(f) for f in found], pa.int32()), pa.array([sorted(x[0] for x in f) for f in found], pa.list_(pa.string()))]
             cols += [pa.array([t[k] for t in top], kind_) for k, kind_ in enumerate((pa.string(), pa.float64(), pa.int32(), pa.int32()))]
