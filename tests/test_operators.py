@@ -139,3 +139,17 @@ def test_rolled_files_and_csv(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a,"b"'), (2, None), (3, "")], "k int, s string")
     texts.write_rows(df, f"{tmp_path}/rows")
     assert sorted(texts.read_rows(spark, f"{tmp_path}/rows", df.schema).collect(), key=lambda r: r.k) == df.collect()
+
+
+def test_candidates_of_every_window(spark):
+    from tracewright.operators import generate
+    from tracewright.plans import registry
+
+    rows = [(w, k, w * 100 + k) for w in range(1, 6) for k in range(6)]
+    prior, domain = spark.createDataFrame(rows, "w int, place int, v long"), spark.range(100, 700).withColumnRenamed("id", "v")
+    got = generate.window_candidates(prior, domain, "w", 2, 6).collect()
+    for w in range(1, 6):
+        one = generate.next_candidates(prior.where(f"w = {w}").drop("w"), domain, 2, 6).collect()
+        assert sorted((x.place, x.v, x.reused) for x in got if x.w == w) == sorted(tuple(x) for x in one) and len(one) == 6
+    out = registry.QUERIES["gen_seq_int"](spark, "/root/testdata/sf0.001")
+    assert out.select("w").distinct().count() > 1

@@ -101,3 +101,16 @@ def next_candidates(prior: DataFrame, domain: DataFrame, keep: int, size: int) -
     order = [F.xxhash64("v"), F.col("v")]
     fresh = domain.join(prior, "v", "left_anti").orderBy(*order).limit(size - keep).withColumn("place", F.row_number().over(W.orderBy(*order)) + keep - 1)
     return kept.unionByName(fresh.select("place", "v", F.lit(False).alias("reused")))
+
+
+def window_candidates(prior: DataFrame, domain: DataFrame, by: str, keep: int, size: int) -> DataFrame:
+    """next_candidates for each window; prior: by, place and v, at most size rows of a window.
+
+    At most size of the domain's first values are candidates of a window already, so the fresh
+    ones of any window are among the first size + (size - keep)."""
+    order = [F.xxhash64("v"), F.col("v")]
+    kept = prior.where(F.col("place") < keep).select(by, "place", "v", F.lit(True).alias("reused"))
+    first = domain.select("v").distinct().orderBy(*order).limit(2 * size - keep)
+    fresh = prior.select(by).distinct().crossJoin(F.broadcast(first)).join(prior, [by, "v"], "left_anti")
+    fresh = fresh.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*order)) + keep - 1).where(F.col("place") < size)
+    return kept.unionByName(fresh.select(by, "place", "v", F.lit(False).alias("reused")))

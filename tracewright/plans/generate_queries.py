@@ -118,8 +118,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("gen_seq_int")
 def _(t: Tables) -> DataFrame:
-    w = D.top_values(_counts(t).where("w = 4"), [], 60).select((F.col("rank") - 1).alias("place"), "v")
-    return G.next_candidates(w, t.events.select(F.col("user_id").alias("v")).distinct(), 20, 60)
+    w = D.top_values(_counts(t), ["w"], 60).select("w", (F.col("rank") - 1).alias("place"), "v")
+    return G.window_candidates(w, t.events.select(F.col("user_id").alias("v")).distinct(), "w", 20, 60)
 
 
 @query("gen_seq_varchar")
