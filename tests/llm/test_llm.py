@@ -233,6 +233,12 @@ def test_ngram_join_of_odd_and_empty_tables(spark):
     assert ngramjoin.one_of_each(documents(spark, ["a b c", "A b c", None, "", "d"])).count() == 4
 
 
+def test_sets_that_share_a_little_have_no_partner(spark):
+    shared = words(6, 77, 3000)
+    rows = [(k, " ".join([*words(40, 500 + k, 9000), *shared])) for k in range(2)]
+    assert sorted(tuple(x) for x in ngramjoin.op8_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.node: r.comp for r in components.components(links).collect()}

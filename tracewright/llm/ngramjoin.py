@@ -228,8 +228,8 @@ def _ordered(cut: Fragments, rows: pd.DataFrame) -> pd.DataFrame:
         t, w, d = t[may], w[may], d[may]
         order = np.lexsort((t, d, w))
         t, w = t[order], w[order]
-        starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else []
-        for lo, hi in zip(starts, [*starts[1:], len(w)], strict=True):
+        edges = [0, *(np.flatnonzero(w[1:] != w[:-1]) + 1), len(w)] if len(w) else []
+        for lo, hi in zip(edges, edges[1:], strict=False):
             k = w[lo]
             out.append((fps[k], int(sizes[k]), int(sizes[k] - shared[k]), int(left[k]), t[lo:hi].view(np.int64), sketch(t[lo:hi])))
     return pd.DataFrame(out, columns=["fp", "n", "own", "p", "tokens", "sketch"])
