@@ -15,12 +15,22 @@ def _sides(p: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     return tuple(p.select("tx_id", *more, F.col("op").alias(f"op_{s}"), F.col("idx").alias(f"idx_{s}")) for s in "ab")
 
 
-def equal_counts(p: DataFrame) -> DataFrame:
+def equal_counts(p: DataFrame, results: DataFrame | None = None) -> DataFrame:
     """Transactions in which parameter b equals the earlier parameter a, first rounds only.
-    The join is on the transaction and the typed value, so its size follows the matches."""
+    The join is on the transaction and the typed value, so its size follows the matches.
+
+    With results (tx_id, op, m, type, v: the columns of single-row results of earlier
+    operations) the edges from them are counted too, with m as idx_a, and source tells both
+    kinds apart."""
     a, b = _sides(p.where("rn = 1"), "type", "v")
     earlier = (F.col("op_a") < F.col("op_b")) | (F.col("op_a") == F.col("op_b")) & (F.col("idx_a") < F.col("idx_b"))
-    return a.join(b, ["tx_id", "type", "v"]).where(earlier).groupBy(*PAIR).agg(F.count("*").alias("n"))
+    own = a.join(b, ["tx_id", "type", "v"]).where(earlier)
+    if results is None:
+        return own.groupBy(*PAIR).agg(F.count("*").alias("n"))
+    read = results.select("tx_id", "type", "v", F.col("op").alias("op_a"), F.col("m").alias("idx_a"))
+    more = read.join(b, ["tx_id", "type", "v"]).where("op_a < op_b")
+    both = own.select(*PAIR, F.lit("parameter").alias("source")).union(more.select(*PAIR, F.lit("result")))
+    return both.groupBy(*PAIR, "source").agg(F.count("*").alias("n"))
 
 
 def exec_counts(p: DataFrame) -> DataFrame:
@@ -44,7 +54,8 @@ def average_runs(p: DataFrame) -> DataFrame:
 def probabilities(counts: DataFrame, n_exec: DataFrame, least: float = 0.01) -> DataFrame:
     """Counts over the runs of the dependent operation; faint ones go."""
     n = n_exec.select(F.col("op").alias("op_b"), "n_exec")
-    return counts.join(F.broadcast(n), "op_b").select(*PAIR, (F.col("n") / F.col("n_exec")).alias("prob")).where(F.col("prob") >= least)
+    more = [c for c in ("source",) if c in counts.columns]
+    return counts.join(n, "op_b").select(*PAIR, *more, (F.col("n") / F.col("n_exec")).alias("prob")).where(F.col("prob") >= least)
 
 
 def identical_sets(prob: DataFrame) -> DataFrame:
@@ -88,49 +99,78 @@ def selected_edges(candidates: DataFrame, descending: bool = False) -> DataFrame
     return candidates.groupBy("op_b", "idx_b").applyInPandas(choose, "op_a int, idx_a int, op_b int, idx_b int, prob double")
 
 
-def include_counts(p: DataFrame, results: DataFrame) -> DataFrame:
+def include_counts(p: DataFrame, results: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Transactions in which a parameter's value is in column m of the many-row result of an
-    earlier operation. results: tx_id, op, m, type and v, a row for each result row."""
-    r = results.select("tx_id", F.col("op").alias("op_a"), F.col("m").alias("idx_a"), "type", "v").distinct()
+    earlier operation. results: tx_id, op, m, type and v, a row for each result row. Where many
+    transactions read the same rows, keys (tx_id and key) says which, and results has key
+    instead of tx_id, so shared rows are never copied to each transaction."""
+    by = "tx_id" if keys is None else "key"
+    r = results.select(by, F.col("op").alias("op_a"), F.col("m").alias("idx_a"), "type", "v").distinct()
     b = p.where("rn = 1").select("tx_id", "type", "v", F.col("op").alias("op_b"), F.col("idx").alias("idx_b"))
-    return b.join(r, ["tx_id", "type", "v"]).where("op_a < op_b").groupBy(*PAIR).agg(F.count_distinct("tx_id").alias("n"))
+    b = b if keys is None else b.join(keys, "tx_id")
+    return b.join(r, [by, "type", "v"]).where("op_a < op_b").groupBy(*PAIR).agg(F.count_distinct("tx_id").alias("n"))
 
 
-def merged_edges(equal: DataFrame, more: DataFrame) -> DataFrame:
+def merged_edges(known: DataFrame, more: DataFrame) -> DataFrame:
     """Edges of several kinds of each parameter: those of more are added while the sum stays
-    at 1 or below; else one replaces the last equal edge if it is at least twice as likely
-    and the sum allows. Both with op_b, idx_b, op_a, idx_a, prob and kind."""
+    at 1 or below. Each that is left over replaces one known edge, the faintest first, if the
+    sum allows: an equal edge if it is at least twice as likely; a partition edge also takes
+    the place of another kind's edge that is no likelier. Both with op_b, idx_b, op_a, idx_a,
+    prob and kind."""
+    keys = [*PAIR, "prob", "kind"]
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["prob", "op_a", "idx_a"])
-        kept = rows[rows.kind == "equal"].to_dict("records")
-        for new in rows[rows.kind != "equal"].to_dict("records"):
-            total = sum(e["prob"] for e in kept)
-            if total + new["prob"] <= 1 + 1e-8:
-                kept.append(new)
-                continue
-            for k in range(len(kept) - 1, -1, -1):
-                old = kept[k]
-                if old["kind"] == "equal" and new["prob"] >= 2 * old["prob"] and total - old["prob"] + new["prob"] <= 1 + 1e-8:
-                    kept[k] = new
+        kept = rows[~rows.new].to_dict("records")
+        total, added, left = sum(e["prob"] for e in kept), [], []
+        for e in rows[rows.new].to_dict("records"):
+            if total + e["prob"] <= 1 + 1e-8:
+                added.append(e)
+                total += e["prob"]
+            else:
+                left.append(e)
+        for e in left:
+            for k, old in enumerate(kept):
+                likely = e["prob"] >= 2 * old["prob"] if old["kind"] == "equal" else e["kind"].startswith("part") and e["prob"] >= old["prob"]
+                if likely and total - old["prob"] + e["prob"] <= 1 + 1e-8:
+                    kept[k] = e
+                    total += e["prob"] - old["prob"]
                     break
-        return pd.DataFrame(kept, columns=[*PAIR, "prob", "kind"])
-
-    return equal.unionByName(more).groupBy("op_b", "idx_b").applyInPandas(merge, "op_a int, idx_a int, op_b int, idx_b int, prob double, kind string")
-
-
-def linear_relations(p: DataFrame, slack: float = 0.0) -> DataFrame:
-    """(a, b) of y = a x + b between an earlier numeric parameter x and a later one y that
-    holds in all transactions, first rounds only. Two anchors, the least and the greatest x,
-    fix the line; the rest is an exact check by cross products."""
-    a, b = _sides(p.where("rn = 1 and type in (0, 1, 2, 3)"), "v")
-    pairs = a.withColumnRenamed("v", "x").join(b.withColumnRenamed("v", "y"), "tx_id").where("op_a < op_b")
-    ends = pairs.groupBy(*PAIR).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min_by("y", F.struct("x", "y")).alias("y0"), F.max_by("y", F.struct("x", "y")).alias("y1"))
-    d = lambda c: F.col(c).cast("decimal(20,0)")
-    holds = F.bool_and((d("y") - d("y0")) * (d("x1") - d("x0")) == (d("y1") - d("y0")) * (d("x") - d("x0")))
-    checked = pairs.join(F.broadcast(ends), PAIR).where("x1 > x0").groupBy(*PAIR).agg(holds.alias("ok"), *[F.first(c).alias(c) for c in ("x0", "x1", "y0", "y1")])
+        return pd.DataFrame(kept + added, columns=keys)
+
+    both = known.select(*keys, F.lit(False).alias("new")).union(more.select(*keys, F.lit(True)))
+    return both.groupBy("op_b", "idx_b").applyInPandas(merge, "op_a int, idx_a int, op_b int, idx_b int, prob double, kind string")
+
+
+_PAIRS = """flatten(transform(ps, a -> transform(filter(ps, b -> b.source = 'parameter' and a.op < b.op), b ->
+    named_struct('source', a.source, 'op_a', a.op, 'idx_a', a.idx, 'op_b', b.op, 'idx_b', b.idx, 'x', a.v, 'y', b.v))))"""
+
+
+def linear_relations(p: DataFrame, results: DataFrame | None = None, slack: float = 1e-9) -> DataFrame:
+    """(a, b) of y = a x + b between an earlier numeric value x and a later parameter y that
+    holds in all transactions, first rounds only. x is a parameter or, with results (tx_id, op,
+    m, type, v of single-row results), also a column of a result; then source tells both apart,
+    and a null result rules the relation out.
+
+    A transaction's values stand in one row, so no pair is joined. Two anchors, the least and
+    the greatest x, fix the line; the rest is a check by cross products, exact for integers,
+    and for other numbers within slack of the size of y."""
+    first = p.where("rn = 1 and type in (0, 1, 2, 3)").select("tx_id", F.lit("parameter").alias("source"), "op", "idx", "v")
+    exact = "int" in p.schema["v"].dataType.simpleString()
+    if results is not None:
+        first = first.union(results.where("type in (0, 1, 2, 3)").select("tx_id", F.lit("result"), "op", "m", "v"))
+        exact = exact and "int" in results.schema["v"].dataType.simpleString()
+    v = F.col("v") if exact else F.col("v").cast("double").alias("v")
+    rows = first.groupBy("tx_id").agg(F.collect_list(F.struct("source", "op", "idx", v)).alias("ps"))
+    pairs = rows.select(F.explode(F.expr(_PAIRS)).alias("q")).select("q.*")
+    keys = PAIR if results is None else [*PAIR, "source"]
+    ends = pairs.where("x is not null and y is not null").groupBy(*keys).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min_by("y", F.struct("x", "y")).alias("y0"), F.max_by("y", F.struct("x", "y")).alias("y1"))
+    d = lambda c: F.col(c).cast("decimal(20,0)" if exact else "double")
+    left, right = (d("y") - d("y0")) * (d("x1") - d("x0")), (d("y1") - d("y0")) * (d("x") - d("x0"))
+    near = left == right if exact else F.abs(left - right) <= F.lit(slack) * (F.col("x1") - F.col("x0")) * F.greatest(F.abs("y"), F.abs("y0"), F.abs("y1"))
+    checked = pairs.join(ends, keys).where("x1 > x0").groupBy(*keys).agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("ok"), *[F.first(c).alias(c) for c in ("x0", "x1", "y0", "y1")])
     slope = (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0"))
-    return checked.where("ok").select(*PAIR, slope.alias("a"), (F.col("y0") - slope * F.col("x0")).alias("b"))
+    return checked.where("ok").select(*keys, slope.alias("a"), (F.col("y0") - slope * F.col("x0")).alias("b"))
 
 
 def useful_linear(linear: DataFrame, prob: DataFrame, strong: float = 0.7) -> DataFrame:
@@ -159,6 +199,19 @@ def partition_counts(p: DataFrame, part: Column, same: bool) -> DataFrame:
     return per.groupBy("op", "idx").agg(F.sum(F.col("eq") if same else pairs - F.col("eq")).alias("n_pairs"))
 
 
+def partition_links(p: DataFrame, part: Column, column: Column) -> DataFrame:
+    """Rounds of a parameter whose value is in the same (n_same) and in another (n_other)
+    partition than the first round of a parameter of an earlier operation; both must stand for
+    the same column of a table, and column is null for those without partitions. From the
+    counts of each partition in a transaction, so rounds aren't joined one by one."""
+    rows = p.withColumn("col", column).withColumn("part", part).where("col is not null and part is not null")
+    a = rows.where("rn = 1").select("tx_id", "col", F.col("op").alias("op_a"), F.col("idx").alias("idx_a"), F.col("part").alias("part_a"))
+    b = rows.groupBy("tx_id", "col", F.col("op").alias("op_b"), F.col("idx").alias("idx_b"), "part").agg(F.count("*").alias("n"))
+    same = F.col("part") == F.col("part_a")
+    both = a.join(b, ["tx_id", "col"]).where("op_a < op_b")
+    return both.groupBy(*PAIR).agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("n_same"), F.sum(F.when(same, 0).otherwise(F.col("n"))).alias("n_other"))
+
+
 def partition_cardinality(p: DataFrame, part: Column) -> DataFrame:
     """Share of transactions that touch so many partitions; those that touch none count in
     the whole only."""
@@ -178,7 +231,7 @@ def masked(p: DataFrame, sets: DataFrame, loops: DataFrame) -> DataFrame:
     and loop parameters after the first round."""
     later = sets.where("op <> set_op or idx <> set_idx").select("op", "idx", F.lit(True).alias("__s"))
     loop = loops.select("op", "idx", F.lit(True).alias("__l"))
-    out = p.join(F.broadcast(later), ["op", "idx"], "left").join(F.broadcast(loop), ["op", "idx"], "left")
+    out = p.join(later, ["op", "idx"], "left").join(loop, ["op", "idx"], "left")
     return out.withColumn("v", F.when(F.col("__s").isNull() & (F.col("__l").isNull() | (F.col("rn") == 1)), F.col("v"))).drop("__s", "__l")
 
 

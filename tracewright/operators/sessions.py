@@ -48,36 +48,95 @@ def capped(df: DataFrame, template: str, order: list[str], cap: int) -> DataFram
     return df.withColumn("__r", F.row_number().over(W.partitionBy(template).orderBy(*order))).where(F.col("__r") <= cap).drop("__r")
 
 
-def folded_loops(df: DataFrame, tx: str, order: list[str], sql: str) -> DataFrame:
-    """Statements of a transaction with the loop folded out: block (0 before it, 1 in it, 2
-    behind it), op_id and round of each.
-
-    At the first repeat of a statement all from its first run on becomes the loop's body;
-    statements of the body that follow are rounds of it, and each run of its head starts a
-    round. A statement that isn't in the body ends the loop; loops don't nest."""
+def folded_loops(df: DataFrame, tx: str | list[str], order: list[str], sql: str) -> DataFrame:
+    """Statements of a transaction with its loops folded: block (even numbers for plain
+    statements, odd ones for loops, in their order), op_id and round of each.
+
+    At the repeat of a statement that stands in no loop yet, all from its first run on becomes
+    a loop's body; statements of the body that follow are rounds of it, and each run of its head
+    starts a round, also later on. A statement that isn't in the body ends the round. What
+    stands before a loop's end takes part in no later loop, so loops don't nest. tx: one key,
+    called tx_id in the result, or a list of keys, which keep their names."""
+    keys = [tx] if isinstance(tx, str) else tx
+    names = ["tx_id"] if isinstance(tx, str) else keys
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
-        texts, first = rows[sql].tolist(), {}
-        body: list[str] = []
-        start = end = len(texts)
-        for k, s in enumerate(texts):
-            if s in first:
-                start, body, end = first[s], texts[first[s] : k], k
-                while end < len(texts) and texts[end] in body:
-                    end += 1
-                break
-            first[s] = k
-        block, op, rounds, turn = [], [], [], 0
+        texts = rows[sql].tolist()
+        block, op, rounds = [0] * len(texts), [0] * len(texts), [1] * len(texts)
+        tail: dict[str, int] = {}  # statements behind the last loop: where they ran first
+        body: dict[str, int] = {}  # the last loop's statements: their op_ids
+        head, inside, loops, ops, turn = None, False, 0, 0, 0
         for k, s in enumerate(texts):
-            inside = start <= k < end
-            turn += inside and s == body[0]
-            block.append(0 if k < start else 1 if inside else 2)
-            op.append(start + body.index(s) + 1 if inside else k + 1 if k < start else start + len(body) + k - end + 1)
-            rounds.append(turn if inside else 1)
-        return pd.DataFrame({"tx_id": rows[tx].astype("int64"), "sql": texts, "block": block, "op_id": op, "round": rounds})
-
-    return df.groupBy(tx).applyInPandas(fold, "tx_id long, sql string, block int, op_id int, round int")
+            if s == head or inside and s in body:
+                turn += s == head
+                block[k], op[k], rounds[k], inside = 2 * loops - 1, body[s], turn, True
+                continue
+            inside = s in tail
+            if inside:
+                start, loops, head, turn = tail[s], loops + 1, s, 2
+                body = {texts[i]: op[i] for i in range(start, k) if texts[i] in tail and tail[texts[i]] >= start}
+                for i in range(start, k):
+                    if texts[i] in body and block[i] == 2 * (loops - 1):
+                        block[i] = 2 * loops - 1
+                block[k], op[k], rounds[k], tail = 2 * loops - 1, body[s], turn, {}
+            else:
+                ops += 1
+                tail[s] = k
+                block[k], op[k] = 2 * loops, ops
+        out = {n: [rows[c].iloc[0]] * len(texts) for n, c in zip(names, keys, strict=True)}
+        return pd.DataFrame(out | {"sql": texts, "block": block, "op_id": op, "round": rounds})
+
+    kinds = ["long"] if isinstance(tx, str) else [df.schema[k].dataType.simpleString() for k in keys]
+    head = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    return df.groupBy(*keys).applyInPandas(fold, f"{head}, sql string, block int, op_id int, round int")
+
+
+def readable(df: DataFrame, sql: str) -> DataFrame:
+    """Statements less the reads that name no table: of variables (select @@...) or constants."""
+    text = F.lower(F.trim(F.col(sql)))
+    return df.where(~(text.startswith("select") & (text.rlike(r"^select\s+@@") | ~text.rlike(r"\sfrom\s"))))
+
+
+def committed(df: DataFrame, keys: list[str], order: list[str], rolled_back: Column) -> DataFrame:
+    """Statements of the transactions whose last one isn't a rollback."""
+    last = df.groupBy(*keys).agg(F.max_by(rolled_back, F.struct(*order)).alias("__r"))
+    return df.join(last.where("__r").select(*keys), keys, "left_anti")
+
+
+def numbered(df: DataFrame, order: list[str], coarse: Column) -> DataFrame:
+    """number, from 1, of each row in order; coarse is a step function of the order's first
+    column. Rows are numbered step by step; only the steps' counts meet in one task."""
+    rows = df.withColumn("__s", coarse)
+    before = F.sum("__n").over(W.orderBy("__s").rowsBetween(W.unboundedPreceding, -1))
+    steps = rows.groupBy("__s").agg(F.count("*").alias("__n")).withColumn("__b", F.coalesce(before, F.lit(0)))
+    own = F.row_number().over(W.partitionBy("__s").orderBy(*order))
+    return rows.withColumn("__k", own).join(steps, "__s").withColumn("number", F.col("__k") + F.col("__b")).drop("__s", "__n", "__b", "__k")
+
+
+def template_ids(df: DataFrame, keys: list[str], sql: str, order: list[str], coarse) -> DataFrame:
+    """template_id of each distinct ordered list of statement texts in the order in which the
+    lists are first seen, with its text, instances and first statement's place. coarse: a
+    function from the place's first column to a step of it."""
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, sql))).alias("__l"))
+    text = F.array_join(F.transform("__l", lambda x: x[sql]), ";")
+    seen = lists.select(text.alias("template"), F.get("__l", F.lit(0)).alias("__f")).groupBy("template").agg(F.count("*").alias("instances"), F.min("__f").alias("__f"))
+    flat = seen.select("template", "instances", *[F.col("__f")[c].alias(c) for c in order])
+    return numbered(flat, [*order, "template"], coarse(F.col(order[0]))).withColumnRenamed("number", "template_id")
+
+
+def rollback_blocks(templates: DataFrame, rolled: DataFrame, keys: list[str], sql: str, order: list[str]) -> DataFrame:
+    """Rolled-back transactions by the template they were on the way of, and the block (number
+    of the last statement, from 0) at which they ended, with their share of the template's
+    instances. rolled: their statements without the rollback. Prefixes of templates are joined
+    by equality; of several templates the first seen counts."""
+    lists = rolled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, sql))).alias("__l"))
+    ended = lists.groupBy(F.array_join(F.transform("__l", lambda x: x[sql]), ";").alias("prefix")).agg(F.count("*").alias("rolled_back"))
+    parts = F.split("template", ";")
+    steps = templates.select("template_id", "template", "instances", F.posexplode(parts).alias("block", "__p")).drop("__p")
+    steps = steps.withColumn("prefix", F.expr("array_join(slice(split(template, ';'), 1, block + 1), ';')"))
+    first = steps.groupBy("prefix").agg(F.min(F.struct("template_id", "block", "instances")).alias("t"))
+    return ended.join(first, "prefix").select("t.template_id", "t.block", "rolled_back", (F.col("rolled_back") / F.col("t.instances")).alias("rollback_prob"))
 
 
 def rollback_rates(sessions: DataFrame, kind: str, rolled_back: Column) -> DataFrame:

@@ -51,8 +51,39 @@ def _(t: Tables) -> DataFrame:
 
 @query("loop_fold")
 def _(t: Tables) -> DataFrame:
-    s = _sessions(t).withColumn("tx", F.xxhash64("user_id", "session")).select("tx", "ts", "event_id", "event_type")
-    return S.folded_loops(s, "tx", ["ts", "event_id"], "event_type")
+    return S.folded_loops(_sessions(t).select("user_id", "session", "ts", "event_id", "event_type"), ["user_id", "session"], ["ts", "event_id"], "event_type")
+
+
+_TPL_SQL = S_SQL + ", x AS (SELECT user_id, \"session\", list(event_type ORDER BY ts, event_id) l, min((ts, event_id)) f FROM s GROUP BY ALL), tpl AS (SELECT array_to_string(l, ';') template, count(*) instances, row_number() OVER (ORDER BY min(f)) template_id FROM x WHERE l[-1] <> 'error' GROUP BY 1)"
+
+
+def _templates(t: Tables) -> DataFrame:
+    keys, order = ["user_id", "session"], ["ts", "event_id"]
+    good = S.committed(_sessions(t), keys, order, F.col("event_type") == "error")
+    return S.template_ids(good, keys, "event_type", order, lambda ts: F.to_date(ts))
+
+
+@query("template_ids", f"WITH {_TPL_SQL} SELECT template_id, template, instances FROM tpl")
+def _(t: Tables) -> DataFrame:
+    return _templates(t).select("template_id", "template", "instances")
+
+
+@query("rollback_blocks", f"WITH {_TPL_SQL}, px AS (SELECT array_to_string(string_split(template, ';')[1:b + 1], ';') prefix, min((template_id, b, instances)) t FROM (SELECT *, unnest(range(0, len(string_split(template, ';')))) b FROM tpl) GROUP BY 1), e AS (SELECT array_to_string(l[1:len(l) - 1], ';') prefix, count(*) n FROM x WHERE l[-1] = 'error' AND len(l) > 1 GROUP BY 1) SELECT t[1] template_id, CAST(t[2] AS INT) \"block\", n rolled_back, round(n / t[3], 6) rollback_prob FROM e JOIN px USING (prefix)")
+def _(t: Tables) -> DataFrame:
+    s = _sessions(t)
+    ended = s.groupBy("user_id", "session").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("l")).where("l = 'error'").select("user_id", "session")
+    rolled = s.join(ended, ["user_id", "session"], "left_semi").where("event_type <> 'error'")
+    return S.rollback_blocks(_templates(t), rolled, ["user_id", "session"], "event_type", ["ts", "event_id"]).withColumn("rollback_prob", F.round("rollback_prob", 6))
+
+
+@query("readable_sessions", f"WITH {S_SQL}, x AS (SELECT user_id, \"session\", arg_max(event_type, (ts, event_id)) l, count(*) FILTER (WHERE event_type NOT IN ('signup', 'view')) kept FROM s GROUP BY ALL) SELECT l last_op, count(*) sessions, CAST(sum(kept) AS BIGINT) statements FROM x WHERE l <> 'error' AND kept > 0 GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_type")
+    text = F.when(e == "signup", "select @@session.tx_read_only").when(e == "view", "SELECT 1").when(e == "click", F.concat(F.lit("select n from c where id = "), "user_id")).when(e == "error", "rollback").otherwise("commit")
+    s = S.committed(_sessions(t).withColumn("sql", text), ["user_id", "session"], ["ts", "event_id"], e == "error")
+    last = s.groupBy("user_id", "session").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_op"))
+    kept = S.readable(s, "sql").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+    return kept.join(last, ["user_id", "session"]).groupBy("last_op").agg(F.count("*").alias("sessions"), F.sum("n").alias("statements"))
 
 
 @query("op_shape", "WITH n AS (SELECT l_orderkey, count(*) n FROM lineitem GROUP BY 1) SELECT o_orderkey tx_id, 1 op, 0 shape FROM orders UNION ALL SELECT o_orderkey, 2, CASE WHEN n IS NULL THEN -1 WHEN n = 1 THEN 0 ELSE 1 END FROM orders LEFT JOIN n ON l_orderkey = o_orderkey")
@@ -112,10 +143,11 @@ def _(t: Tables) -> DataFrame:
     return M.selected_edges(_candidates(t))
 
 
-def _customer_orders(t: Tables) -> DataFrame:
-    """Operation 1 returns all orders of its customer."""
-    own, all_ = t.orders.select(F.col("o_orderkey").alias("tx_id"), "o_custkey"), t.orders.select("o_custkey", F.col("o_orderkey").alias("v"))
-    return own.join(all_, "o_custkey").select("tx_id", F.lit(1).alias("op"), F.lit(0).alias("m"), F.lit(0).alias("type"), "v")
+def _include(t: Tables, p: DataFrame) -> DataFrame:
+    """Operation 1 returns all orders of its customer; orders of one customer share its rows."""
+    keys = t.orders.select(F.col("o_orderkey").alias("tx_id"), F.col("o_custkey").alias("key"))
+    rows = t.orders.select(F.col("o_custkey").alias("key"), F.lit(1).alias("op"), F.lit(0).alias("m"), F.lit(0).alias("type"), F.col("o_orderkey").alias("v"))
+    return M.include_counts(p, rows, keys)
 
 
 _INC_SQL = "res AS (SELECT DISTINCT a.o_orderkey tx_id, 0 type, b.o_orderkey v FROM orders a JOIN orders b USING (o_custkey)), inc AS (SELECT 1 op_a, 0 idx_a, op op_b, idx idx_b, count(DISTINCT tx_id) n FROM p JOIN res USING (tx_id, type, v) WHERE rn = 1 AND op > 1 GROUP BY ALL)"
@@ -123,13 +155,13 @@ _INC_SQL = "res AS (SELECT DISTINCT a.o_orderkey tx_id, 0 type, b.o_orderkey v F
 
 @query("dep_include", f"WITH {P_SQL}, {_INC_SQL} SELECT * FROM inc")
 def _(t: Tables) -> DataFrame:
-    return M.include_counts(order_params(t), _customer_orders(t))
+    return _include(t, order_params(t))
 
 
 @query("dep_include_select")
 def _(t: Tables) -> DataFrame:
     p = order_params(t)
-    more = M.probabilities(M.include_counts(p, _customer_orders(t)), M.exec_counts(p)).withColumn("kind", F.lit("include"))
+    more = M.probabilities(_include(t, p), M.exec_counts(p)).withColumn("kind", F.lit("include"))
     return M.merged_edges(M.selected_edges(_candidates(t)).withColumn("kind", F.lit("equal")), more)
 
 
@@ -150,6 +182,28 @@ def _(t: Tables) -> DataFrame:
     return M.linear_relations(_doubled(t)).select(*M.PAIR, F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
+def _order_results(t: Tables, kind: str = "long") -> DataFrame:
+    """Operation 1 reads one row: the order's customer and its total."""
+    values = F.array(F.col("o_custkey").cast(kind), F.col("o_totalprice").cast(kind))
+    return t.orders.select(F.col("o_orderkey").alias("tx_id"), F.lit(1).alias("op"), F.lit(0).alias("type"), F.posexplode(values).alias("m", "v"))
+
+
+_RES_SQL = "res AS (SELECT o_orderkey tx_id, 1 op, 0 type, 0 m, CAST(o_custkey AS {k}) v FROM orders UNION ALL SELECT o_orderkey, 1, 0, 1, CAST({t} AS {k}) FROM orders)"
+
+
+@query("dep_equal_results", f"WITH {P_SQL}, {_RES_SQL.format(k='BIGINT', t='trunc(o_totalprice)')} SELECT a.op op_a, a.idx idx_a, b.op op_b, b.idx idx_b, 'parameter' source, count(*) n FROM p a JOIN p b USING (tx_id, type, v) WHERE a.rn = 1 AND b.rn = 1 AND (a.op < b.op OR a.op = b.op AND a.idx < b.idx) GROUP BY ALL UNION ALL SELECT a.op, a.m, b.op, b.idx, 'result', count(*) FROM res a JOIN p b USING (tx_id, type, v) WHERE b.rn = 1 AND a.op < b.op GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return M.equal_counts(order_params(t), _order_results(t))
+
+
+@query("dep_linear_results", f"WITH {P_SQL}, {_RES_SQL.format(k='DOUBLE', t='o_totalprice')}, f AS (SELECT tx_id, 'parameter' source, op, idx, CAST(v AS DOUBLE) v FROM p WHERE rn = 1 UNION ALL SELECT o_orderkey, 'parameter', 3, 0, 2.0 * o_custkey + 5 FROM orders UNION ALL SELECT o_orderkey, 'parameter', 4, 0, 0.5 * CAST(o_totalprice AS DOUBLE) + 1.25 FROM orders UNION ALL SELECT tx_id, 'result', op, m, v FROM res), q AS (SELECT a.source, a.op op_a, a.idx idx_a, b.op op_b, b.idx idx_b, a.v x, b.v y FROM f a JOIN f b USING (tx_id) WHERE b.source = 'parameter' AND a.op < b.op), en AS (SELECT source, op_a, idx_a, op_b, idx_b, min(x) x0, max(x) x1, arg_min(y, (x, y)) y0, arg_max(y, (x, y)) y1 FROM q GROUP BY ALL) SELECT source, op_a, idx_a, op_b, idx_b, round((y1 - y0) / (x1 - x0), 6) a, round(y0 - (y1 - y0) / (x1 - x0) * x0, 4) b FROM q JOIN en USING (source, op_a, idx_a, op_b, idx_b) WHERE x1 > x0 GROUP BY source, op_a, idx_a, op_b, idx_b, x0, x1, y0, y1 HAVING bool_and(abs((y - y0) * (x1 - x0) - (y1 - y0) * (x - x0)) <= 1e-9 * (x1 - x0) * greatest(abs(y), abs(y0), abs(y1)))")
+def _(t: Tables) -> DataFrame:
+    price = F.col("o_totalprice").cast("double") * 0.5 + 1.25
+    half = t.orders.select(F.col("o_orderkey").alias("tx_id"), F.lit(4).alias("op"), F.lit(1).alias("rn"), F.lit(2).alias("type"), F.lit(0).alias("idx"), price.alias("v"))
+    p = _doubled(t).withColumn("v", F.col("v").cast("double")).unionByName(half)
+    return M.linear_relations(p, _order_results(t, "double")).withColumns({"a": F.round("a", 6), "b": F.round("b", 4)})
+
+
 @query("dep_linear_select", f"WITH {_LIN3_SQL} SELECT op_a, idx_a, op_b, idx_b, round(a, 6) a, round(b, 6) b FROM lin WHERE NOT (a = 1 AND b = 0) AND a <> 0 AND NOT (op_b = 2 AND idx_b = 0)")
 def _(t: Tables) -> DataFrame:
     p = _doubled(t)
@@ -161,7 +215,7 @@ def _(t: Tables) -> DataFrame:
     return M.loop_increments(order_params(t))
 
 
-_PAIRS_SQL = P_SQL + ", k AS (SELECT tx_id, op, idx, v % 4 part, count(*) n FROM p WHERE op = 2 AND idx = 2 GROUP BY ALL), per AS (SELECT tx_id, op, idx, sum(n) t, sum(n * (n - 1) // 2) eq FROM k GROUP BY ALL)"
+_PAIRS_SQL = P_SQL + ", k AS (SELECT tx_id, op, idx, v % 4 part, count(*) n FROM p GROUP BY ALL), per AS (SELECT tx_id, op, idx, sum(n) t, sum(n * (n - 1) // 2) eq FROM k GROUP BY ALL)"
 
 
 def supplier_part() -> Column:
@@ -170,20 +224,35 @@ def supplier_part() -> Column:
 
 @query("dep_part_eq", f"WITH {_PAIRS_SQL} SELECT op, idx, CAST(sum(eq) AS BIGINT) n_pairs FROM per GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), supplier_part(), True)
+    return M.partition_counts(order_params(t), supplier_part(), True)
 
 
 @query("dep_part_ne", f"WITH {_PAIRS_SQL} SELECT op, idx, CAST(sum(t * (t - 1) // 2 - eq) AS BIGINT) n_pairs FROM per GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return M.partition_counts(order_params(t).where("op = 2 and idx = 2"), supplier_part(), False)
+    return M.partition_counts(order_params(t), supplier_part(), False)
+
+
+def _columns() -> Column:
+    """The column of a table that a parameter stands for: the order's key and its lines' are
+    one, as are the keys of customers and suppliers, which share a range."""
+    return F.when(F.col("idx") == 0, "orderkey").when((F.col("op") == 1) | (F.col("idx") == 2), "partner")
+
+
+@query("dep_part_links", f"WITH {P_SQL}, c AS (SELECT *, v % 4 part, CASE WHEN idx = 0 THEN 'orderkey' WHEN op = 1 OR idx = 2 THEN 'partner' END col FROM p) SELECT a.op op_a, a.idx idx_a, b.op op_b, b.idx idx_b, count(*) FILTER (WHERE a.part = b.part) n_same, count(*) FILTER (WHERE a.part <> b.part) n_other FROM c a JOIN c b USING (tx_id, col) WHERE a.rn = 1 AND a.op < b.op GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return M.partition_links(order_params(t), supplier_part(), _columns())
 
 
 @query("dep_part_select")
 def _(t: Tables) -> DataFrame:
     p = order_params(t)
-    own = p.where("op = 2 and idx = 2")
-    rate = M.partition_counts(own, supplier_part(), False).join(M.exec_pairs(own).withColumnRenamed("n_pairs", "d"), "op")
-    more = rate.select(F.col("op").alias("op_a"), F.col("idx").alias("idx_a"), F.col("op").alias("op_b"), F.col("idx").alias("idx_b"), (F.col("n_pairs") / F.col("d")).alias("prob"), F.lit("part_ne").alias("kind"))
+    own = M.partition_counts(p.where(_columns().isNotNull()), supplier_part(), False)
+    one = own.select(F.col("op").alias("op_a"), F.col("idx").alias("idx_a"), F.col("op").alias("op_b"), F.col("idx").alias("idx_b"), "n_pairs").where("op_a > 1")
+    two = M.partition_links(p, supplier_part(), _columns()).select(*M.PAIR, F.col("n_other").alias("n_pairs"))
+    rounds = p.select("op", "tx_id", "rn").distinct().groupBy("op").agg(F.count("*").alias("d1"))
+    base = M.exec_pairs(p).join(rounds, "op").select(F.col("op").alias("op_b"), "n_pairs", "d1").withColumnRenamed("n_pairs", "d0")
+    rate = F.col("n_pairs") / F.when(F.col("op_a") == F.col("op_b"), F.col("d0")).otherwise(F.col("d1"))
+    more = one.union(two).join(base, "op_b").select(*M.PAIR, rate.alias("prob"), F.lit("part_ne").alias("kind")).where("prob >= 0.01")
     return M.merged_edges(M.selected_edges(_candidates(t)).withColumn("kind", F.lit("equal")), more)
 
 
