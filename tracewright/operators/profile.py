@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,26 +21,40 @@ def _stacked(df: DataFrame, columns: list[str], stats: dict) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def _value_counts(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """column_name, k (the value as text, null for nulls), v (its measure) and n (rows): one row
+    for each column and value, counted in tasks first, so rows aren't copied for each column
+    through the shuffle."""
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("k"), m.alias("v")) for c, m in columns.items()])
+    return df.select(F.explode(items).alias("i")).groupBy("i.column_name", "i.k").agg(F.first("i.v").alias("v"), F.count("*").alias("n"))
+
+
+def _number(df: DataFrame, c: str) -> Column:
+    """A column as a double; dates and timestamps as milliseconds since 1970."""
+    kind = df.schema[c].dataType.simpleString()
+    if kind == "date":
+        return F.unix_date(c).cast("double") * 86_400_000
+    return F.unix_millis(F.col(c).cast("timestamp")).cast("double") if kind.startswith("timestamp") else F.col(c).cast("double")
+
+
 def numeric_profile(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
-    """null_ratio, ndv, min_value and max_value (as doubles) of each column; approximate
-    counts distinct values by a sketch instead of a shuffle of them all."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return _stacked(df, columns, {
-        "null_ratio": lambda c: F.avg(c.isNull().cast("double")),
-        "ndv": distinct,
-        "min_value": lambda c: F.min(c.cast("double")),
-        "max_value": lambda c: F.max(c.cast("double")),
-    })
+    """null_ratio, ndv, min_value and max_value (as doubles, milliseconds for dates and times) of
+    each column; approximate counts distinct values by a sketch instead of a shuffle of them."""
+    if approximate:
+        wide = df.select(*[_number(df, c).alias(c) for c in columns])
+        return _stacked(wide, columns, {"null_ratio": lambda c: F.avg(c.isNull().cast("double")), "ndv": F.approx_count_distinct, "min_value": F.min, "max_value": F.max})
+    counts = _value_counts(df, {c: _number(df, c) for c in columns})
+    nulls = F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)) / F.sum("n")
+    return counts.groupBy("column_name").agg(nulls.alias("null_ratio"), F.count("k").alias("ndv"), F.min("v").alias("min_value"), F.max("v").alias("max_value"))
 
 
 def string_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """null_ratio, ndv, avg_len and max_len (in characters) of each column."""
-    return _stacked(df, columns, {
-        "null_ratio": lambda c: F.avg(c.isNull().cast("double")),
-        "ndv": F.count_distinct,
-        "avg_len": lambda c: F.avg(F.length(c)),
-        "max_len": lambda c: F.max(F.length(c)).cast("long"),
-    })
+    counts = _value_counts(df, {c: F.length(c).cast("long") for c in columns})
+    full = F.col("k").isNotNull()
+    nulls = F.sum(F.when(full, 0).otherwise(F.col("n"))) / F.sum("n")
+    length = F.sum(F.col("v") * F.col("n")) / F.sum(F.when(full, F.col("n")))
+    return counts.groupBy("column_name").agg(nulls.alias("null_ratio"), F.count("k").alias("ndv"), length.alias("avg_len"), F.max("v").alias("max_len"))
 
 
 def boolean_profile(df: DataFrame, columns: dict) -> DataFrame:
@@ -70,14 +84,32 @@ def reference_scale(child: DataFrame, parent: DataFrame) -> DataFrame:
     return child.agg(F.count("*").alias("c")).crossJoin(parent.agg(F.count("*").alias("p"))).select((F.col("c") / F.col("p")).alias("scale"))
 
 
-def schema_scan(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
-    """table_name, position, column_name, native and logical type, and whether it is part of
-    the declared primary key, in column order."""
+def jittered(scale: Column, key: Column, ratio: float = 0.02, stream: int = 0) -> Column:
+    """A scale moved by up to ratio of itself either way, the same for the same key."""
+    from tracewright.functions.exprs import lcg
+
+    return scale * (1 + (2 * lcg(key, stream) - 1) * ratio)
+
+
+def schema_scan(tables: dict[str, DataFrame], keys: dict[str, list[str]], refs: dict[str, dict[str, tuple[str, str]]] | None = None) -> DataFrame:
+    """table_name, position, column_name, native and logical type, whether it is part of the
+    declared primary key, and the table and column it refers to (null if none), in column order.
+    refs: of each table, its referring columns."""
     from tracewright.functions.exprs import logical_type
 
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(t, k, f.name, f.dataType.simpleString(), f.name in keys.get(t, [])) for t, df in tables.items() for k, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "table_name string, position int, column_name string, native_type string, in_key boolean").withColumn("logical_type", logical_type(F.col("native_type")))
+    spark, refs = next(iter(tables.values())).sparkSession, refs or {}
+    rows = [(t, k, f.name, f.dataType.simpleString(), f.name in keys.get(t, []), *refs.get(t, {}).get(f.name, (None, None))) for t, df in tables.items() for k, f in enumerate(df.schema.fields)]
+    schema = "table_name string, position int, column_name string, native_type string, in_key boolean, parent_table string, parent_column string"
+    return spark.createDataFrame(rows, schema).withColumn("logical_type", logical_type(F.col("native_type")))
+
+
+def broken_references(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:
+    """n_rows of child, n_null without a value and n_broken whose value no row of parent has."""
+    rows = child.groupBy(F.col(column).alias("__k")).agg(F.count("*").alias("n"))
+    there = parent.select(F.col(key).alias("__k"), F.lit(True).alias("__p")).distinct()
+    counted = rows.join(there, "__k", "left")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return counted.agg(total(F.lit(True)).alias("n_rows"), total(F.col("__k").isNull()).alias("n_null"), total(F.col("__k").isNotNull() & F.col("__p").isNull()).alias("n_broken"))
 
 
 def topological_levels(names: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ from tracewright.plans.base import Tables, query
 RELATIONAL = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"]}
 FOREIGN = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
+REFS = {
+    "nation": {"n_regionkey": ("region", "r_regionkey")}, "customer": {"c_nationkey": ("nation", "n_nationkey")}, "supplier": {"s_nationkey": ("nation", "n_nationkey")},
+    "orders": {"o_custkey": ("customer", "c_custkey")}, "lineitem": {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")},
+}
 NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 STRINGS = ["p_name", "p_brand", "p_type"]
 
@@ -60,6 +64,33 @@ def _(t: Tables) -> DataFrame:
     return keys.join(one, "child").join(two, "parent").select("child", "parent", F.round(F.col("c") / F.col("p"), 6).alias("scale"))
 
 
+@query("profile_dates", _union([f"SELECT '{c}' column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) null_ratio, count(DISTINCT {c}) ndv, CAST(epoch_ms(CAST(min({c}) AS TIMESTAMP)) AS DOUBLE) min_value, CAST(epoch_ms(CAST(max({c}) AS TIMESTAMP)) AS DOUBLE) max_value FROM {t}" for t, c in (("orders", "o_orderdate"), ("events", "ts"))]))
+def _(t: Tables) -> DataFrame:
+    return P.numeric_profile(t.orders, ["o_orderdate"]).unionByName(P.numeric_profile(t.events, ["ts"]))
+
+
+@query("fk_scale_jitter", _union([f"SELECT '{c}' child, '{p}' parent, round((SELECT count(*) FROM {c}) / (SELECT count(*) FROM {p}) * (1 + (2 * {X.lcg_sql(str(k), 7)} - 1) * 0.02), 6) AS \"scale\"" for k, (c, p) in enumerate(FOREIGN)]))
+def _(t: Tables) -> DataFrame:
+    out = None
+    for k, (c, p) in enumerate(FOREIGN):
+        one = P.reference_scale(getattr(t, c), getattr(t, p)).select(F.lit(c).alias("child"), F.lit(p).alias("parent"), F.round(P.jittered(F.col("scale"), F.lit(k), 0.02, 7), 6).alias("scale"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+_EDGES = [(c, column, *parent) for c, columns in REFS.items() for column, parent in columns.items()]
+
+
+@query("fk_integrity", _union([f"SELECT '{c}' child, '{k}' column_name, count(*) n_rows, count(*) FILTER (WHERE {k} IS NULL) n_null, count(*) FILTER (WHERE {k} NOT IN (SELECT {pk} FROM {p})) n_broken FROM {c}" for c, k, p, pk in _EDGES]))
+def _(t: Tables) -> DataFrame:
+    """Whether the declared references hold in the rows of all tables."""
+    out = None
+    for c, k, p, pk in _EDGES:
+        one = P.broken_references(getattr(t, c), k, getattr(t, p), pk).select(F.lit(c).alias("child"), F.lit(k).alias("column_name"), "n_rows", "n_null", "n_broken")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("fk_topo_order", "WITH RECURSIVE f(c, p) AS (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in FOREIGN) + "), n(t) AS (VALUES " + ", ".join(f"('{x}')" for x in RELATIONAL) + "), r(t, level) AS (SELECT t, 0 FROM n WHERE t NOT IN (SELECT c FROM f) UNION ALL SELECT f.c, r.level + 1 FROM r JOIN f ON f.p = r.t) SELECT r.t table_name, max(level) AS level, (SELECT count(*) FROM lineitem) * 0 + any_value(c.n) n_rows FROM r JOIN (" + _union([f"SELECT '{x}' t, count(*) n FROM {x}" for x in RELATIONAL]) + ") c ON c.t = r.t GROUP BY r.t")
 def _(t: Tables) -> DataFrame:
     counts = P.table_profile({n: getattr(t, n) for n in RELATIONAL})
@@ -69,7 +100,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("schema_scan")
 def _(t: Tables) -> DataFrame:
-    return P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS)
+    return P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS, REFS)
 
 
 @query("type_unify", "SELECT DISTINCT o_orderpriority native_type, CASE WHEN o_orderpriority LIKE '%HIGH%' OR o_orderpriority LIKE '%URGENT%' THEN 'integer' ELSE NULL END logical_type FROM (SELECT CASE WHEN o_orderpriority LIKE '%HIGH%' THEN 'bigint HIGH' WHEN o_orderpriority LIKE '%URGENT%' THEN 'tinyint URGENT' ELSE o_orderpriority END o_orderpriority FROM orders)")
@@ -168,9 +199,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("anonymize_schema")
 def _(t: Tables) -> DataFrame:
-    return S.anonymous_names(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS))
+    return S.anonymous_names(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS, REFS))
 
 
 @query("ddl_render")
 def _(t: Tables) -> DataFrame:
-    return S.rendered_ddl(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS))
+    return S.rendered_ddl(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS, REFS))
