@@ -104,6 +104,47 @@ def partitioned(df: DataFrame, part: Column, v: str) -> DataFrame:
     return df.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.count_distinct(v).alias("ndv")).crossJoin(F.broadcast(total)).select("part", "n", "ndv", (F.col("n") / F.col("t")).alias("freq"))
 
 
+def varchar_distribution(counts: DataFrame, by: list[str], h: int, n: int) -> DataFrame:
+    """The h most frequent strings (slot 1 to h, with v) and behind them n buckets of the hash of
+    all others (slot h + 1 and on): ndv, n and share of the group's rows."""
+    place = F.col("rank").cast("int")
+    slot = F.when(place.isNotNull(), place).otherwise(h + 1 + F.pmod(F.abs(java_string_hash(F.col("v"))), F.lit(n)).cast("int"))
+    rows = joined_totals(with_rank(counts, by, h), totals(counts, by), by).withColumn("slot", slot)
+    return rows.groupBy(*by, "slot").agg(F.min(F.when(place.isNotNull(), F.col("v"))).alias("v"), F.count("*").alias("ndv"), F.sum("n").alias("n"), (F.sum("n") / F.first("__t")).alias("freq"))
+
+
+def padded(top: DataFrame, by: list[str], h: int) -> DataFrame:
+    """top_values with a row of frequency 0 for each of the h ranks that a group lacks."""
+    ranks = top.select(*by).distinct() if by else top.sparkSession.range(1).select()
+    every = ranks.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(h))))
+    return every.join(top, [*by, "rank"], "left").select(*by, "rank", "v", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("freq", F.lit(0.0)).alias("freq"))
+
+
+def nested(df: DataFrame, part: Column, v: str, n: int, h: int) -> DataFrame:
+    """Of each partition its share of all rows and, within it, the h most frequent values and an
+    equi-width histogram of the others: part, part_freq, slot (1 to h, then h + 1 + bucket), ndv
+    and freq (share of the partition's rows)."""
+    counts = value_counts(df.withColumn("part", part), ["part"], v)
+    top = top_values(counts, ["part"], h).select("part", F.col("rank").cast("int").alias("slot"), F.lit(1).cast("long").alias("ndv"), "freq")
+    rest = histogram(counts, ["part"], n, h).select("part", (F.col("bucket") + h + 1).alias("slot"), "ndv", "freq")
+    per = counts.groupBy("part").agg(F.sum("n").alias("__n"))
+    share = per.crossJoin(F.broadcast(per.agg(F.sum("__n").alias("__t")))).select("part", (F.col("__n") / F.col("__t")).alias("part_freq"))
+    return top.union(rest).join(share, "part")
+
+
+def dispatched(df: DataFrame, kind: Column, number: Column, text: Column, n: int, h: int) -> DataFrame:
+    """Statistics of parameters of several kinds at once: df has param; numbers (kinds 0, 1, 3 and
+    4) get their h most frequent values and a histogram, strings (2 and 5) theirs and hash
+    buckets. param, kind, slot, ndv and freq; rows without a kind have no statistics."""
+    rows = df.select("param", kind.alias("kind"), number.cast("double").alias("x"), text.alias("s")).where("kind is not null")
+    by = ["param", "kind"]
+    numbers = value_counts(rows.where("kind not in (2, 5)"), by, "x")
+    strings = value_counts(rows.where("kind in (2, 5)"), by, "s")
+    top = top_values(numbers, by, h).select(*by, F.col("rank").cast("int").alias("slot"), F.lit(1).cast("long").alias("ndv"), "freq")
+    rest = histogram(numbers, by, n, h).select(*by, (F.col("bucket") + h + 1).alias("slot"), "ndv", "freq")
+    return top.union(rest).union(varchar_distribution(strings, by, h, n).select(*by, "slot", "ndv", "freq"))
+
+
 def reservoir(df: DataFrame, by: list[str], key: Column, size: int) -> DataFrame:
     """A uniform sample of each group: the rows with the least keyed random numbers."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(key))).where(F.col("__r") <= size).drop("__r")
@@ -122,7 +163,7 @@ def filled(rates: DataFrame, txn: str, window: str) -> DataFrame:
 
 
 def mix(rates: DataFrame, window: str) -> DataFrame:
-    """Share of each kind in its window, and the window's total."""
+    """Share of each kind in its window, and the window's total over all kinds."""
     t = F.sum("txns").over(W.partitionBy(window))
     return rates.withColumn("total", t).withColumn("share", F.when(F.col("total") > 0, F.col("txns") / F.col("total")))
 
@@ -136,7 +177,7 @@ def candidates(counts: DataFrame, window: str, k: int, cap: int, buckets: int) -
     """Values of the k windows before each window, by hash bucket, the latest first and at
     most cap a bucket. Windows are spread to the k that follow, so the join is by equality."""
     w = counts.select(window).distinct()
-    spread = counts.select("v", F.col(window).alias("seen"), F.explode(F.sequence(F.col(window) + 1, F.col(window) + k)).alias(window)).join(F.broadcast(w), window, "left_semi")
+    spread = counts.select("v", F.col(window).alias("seen"), F.explode(F.sequence(F.col(window) + 1, F.col(window) + k)).alias(window)).join(w, window, "left_semi")
     last = spread.groupBy(window, "v").agg(F.max("seen").alias("seen")).withColumn("bucket", F.pmod("v", F.lit(buckets)))
     return last.withColumn("place", F.row_number().over(W.partitionBy(window, "bucket").orderBy(F.desc("seen"), "v"))).where(F.col("place") <= cap)
 
@@ -168,8 +209,21 @@ def multi_histogram(df: DataFrame, columns: dict[str, Column], h: int) -> DataFr
     return cells.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
-def percentile_ranks(df: DataFrame, by: list[str], v: str, ps: list[float]) -> DataFrame:
-    """The value at rank floor(p n), counted from 0, of each group."""
-    w = W.partitionBy(*by)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(v)) - 1).withColumn("__n", F.count("*").over(w))
-    return r.groupBy(*by).agg(*[F.max(F.when(F.col("__r") == F.floor(F.col("__n") * F.lit(p)), F.col(v))).alias(f"p{round(p * 100)}") for p in ps])
+def percentile_ranks(df: DataFrame, by: list[str], v: str, ps: list[float], steps: int = 1024) -> DataFrame:
+    """The value at rank floor(p n), counted from 0, of each group.
+
+    Rows are counted in steps between a group's least and greatest value; only the values of
+    the steps that hold a wanted rank are put in order, so no task sorts a whole group."""
+    values = df.select(*by, F.col(v).alias("v")).where("v is not null").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    ends = values.groupBy(*by).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("n").alias("__n"))
+    width = F.col("__hi").cast("double") - F.col("__lo").cast("double")
+    step = F.when(width > 0, F.least(F.lit(steps - 1), F.floor((F.col("v").cast("double") - F.col("__lo").cast("double")) / width * steps))).otherwise(0)
+    dealt = values.join(ends, by).withColumn("__s", step.cast("int"))
+    before = W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
+    counts = dealt.groupBy(*by, "__s").agg(F.sum("n").alias("__c"), F.first("__n").alias("__n")).withColumn("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("__n") * F.lit(p)).cast("long").alias("r")) for k, p in enumerate(ps)]))
+    wanted = counts.select(*by, "__s", "__c", "__b", ranks.alias("__p")).where("__p.r >= __b and __p.r < __b + __c").groupBy(*by, "__s").agg(F.first("__b").alias("__b"), F.collect_list("__p").alias("__ps"))
+    run = W.partitionBy(*by, "__s").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    near = dealt.join(wanted, [*by, "__s"]).withColumn("__e", F.col("__b") + F.sum("n").over(run))
+    hit = near.select(*by, "v", F.explode("__ps").alias("__p"), "__e", "n").where("__p.r < __e and __p.r >= __e - n")
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("__p.k") == k, F.col("v"))).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])

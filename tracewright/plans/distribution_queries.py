@@ -101,11 +101,11 @@ def _(t: Tables) -> DataFrame:
     return D.histogram(D.value_counts(t.events, [], "user_id"), [], N, H).select("bucket", "ndv", *R("freq"))
 
 
-RATES = f"WITH {E_SQL}, r AS (SELECT event_type, w, CAST(round(count(*) / 2.0) AS BIGINT) txns FROM e WHERE user_id % 3 = 0 GROUP BY ALL)"
+RATES = f"WITH {E_SQL}, r AS (SELECT event_type, w, CAST(round(count(*) / 2.0) AS BIGINT) txns FROM e GROUP BY ALL)"
 
 
 def _rates(t: Tables) -> DataFrame:
-    return D.throughput(windowed_events(t).where("user_id % 3 = 0"), "event_type", "w", F.lit(2.0))
+    return D.throughput(windowed_events(t), "event_type", "w", F.lit(2.0))
 
 
 @query("throughput", f"{RATES} SELECT * FROM r")
@@ -126,6 +126,34 @@ def _(t: Tables) -> DataFrame:
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
+SLOTS = f"CASE WHEN rank <= {H} THEN CAST(rank AS INT) ELSE {H + 1} + CAST(abs(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) % {N} AS INT) END"
+HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(v, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) x"
+
+
+@query("dist_varchar_rest", f"WITH c AS (SELECT p_brand, p_type v, count(*) n FROM part GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, v) rank, sum(n) OVER (PARTITION BY p_brand) t, {HASH} FROM c) SELECT p_brand, {SLOTS} slot, min(CASE WHEN rank <= {H} THEN v END) v, count(*) ndv, CAST(sum(n) AS BIGINT) n, round(sum(n) / any_value(t), 6) freq FROM k GROUP BY ALL")
+def _(t: Tables) -> DataFrame:
+    return D.varchar_distribution(D.value_counts(t.part, ["p_brand"], "p_type"), ["p_brand"], H, N).withColumn("freq", F.round("freq", 6))
+
+
+@query("topk_padded", f"WITH {C_SQL}, h AS (SELECT w, rank, v, n, n / t freq FROM k WHERE rank <= 2000), g AS (SELECT w, r FROM (SELECT DISTINCT w FROM h), (SELECT unnest(range(1, 2001)) r)) SELECT g.w, CAST(r AS INT) rank, v, coalesce(n, 0) n, round(coalesce(freq, 0), 6) freq FROM g LEFT JOIN h ON h.w = g.w AND rank = r")
+def _(t: Tables) -> DataFrame:
+    return D.padded(D.top_values(_counts(t), ["w"], 2000), ["w"], 2000).select("w", "rank", "v", "n", *R("freq"))
+
+
+@query("dist_nested", f"WITH c AS (SELECT l_suppkey % 4 part, l_partkey v, count(*) n FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY n DESC, v) rank, sum(n) OVER (PARTITION BY part) t, sum(n) OVER () a, min(v) OVER (PARTITION BY part) lo, max(v) OVER (PARTITION BY part) hi FROM c) SELECT part, round(any_value(t) / any_value(a), 6) part_freq, CASE WHEN rank <= {H} THEN CAST(rank AS INT) ELSE {H + 1} + {BUCKET.format(n=N)} END slot, count(*) ndv, round(sum(n) / any_value(t), 6) freq FROM k GROUP BY 1, 3")
+def _(t: Tables) -> DataFrame:
+    return D.nested(t.lineitem, X.hash_partition(F.col("l_suppkey"), 4), "l_partkey", N, H).select("part", "slot", "ndv", *R("part_freq", "freq"))
+
+
+@query("dist_dispatch", f"WITH r AS (SELECT event_type param, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 END kind, CASE WHEN event_type = 'click' THEN round(value) ELSE user_id END x, event_type || user_id % 50 s FROM events), c AS (SELECT param, kind, CASE WHEN kind <> 2 THEN CAST(x AS DOUBLE) END y, CASE WHEN kind = 2 THEN s END v, count(*) n FROM r WHERE kind IS NOT NULL GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY n DESC, y, v) rank, sum(n) OVER (PARTITION BY param) t, min(y) OVER (PARTITION BY param) lo, max(y) OVER (PARTITION BY param) hi, CASE WHEN v IS NOT NULL THEN {HASH.removesuffix(' x')} END x FROM c) SELECT param, kind, CASE WHEN kind = 2 THEN {SLOTS} WHEN rank <= {H} THEN CAST(rank AS INT) ELSE {H + 1} + {BUCKET.format(n=N).replace('(v - lo)', '(y - lo)')} END slot, count(*) ndv, round(sum(n) / any_value(t), 6) freq FROM k GROUP BY 1, 2, 3")
+def _(t: Tables) -> DataFrame:
+    e = F.col("event_type")
+    kind = F.when(e == "click", 0).when(e == "view", 1).when(e == "purchase", 3).when(e == "signup", 2)
+    x = F.when(e == "click", F.round("value")).otherwise(F.col("user_id"))
+    text = F.concat("event_type", (F.col("user_id") % 50).cast("string"))
+    return D.dispatched(t.events.withColumn("param", e), kind, x, text, N, H).select("param", "kind", "slot", "ndv", *R("freq"))
+
+
 @query("window_align", f"WITH {E_SQL} SELECT w, " + ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{k}'), 6) \"{k}\"" for k in KINDS) + " FROM e GROUP BY w")
 def _(t: Tables) -> DataFrame:
     return D.aligned(windowed_events(t), "w", "event_type", KINDS, "value")
