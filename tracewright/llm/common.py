@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of each local session without spark.checkpoint.dir.
+_OWN: dict[str, str] = {}
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -16,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one if none is named (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a session
+    whose executors run in the driver's own process (local mode, as in tests) may leave it
+    unset: such a session gets one folder of its own, which all its parts see."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        where = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
@@ -33,6 +38,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches, rows: int = 512):
+    """Arrow batches in pieces, so that the texts of a few rows only are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], *by: str, salts: int = 8) -> DataFrame:
+    """left joined to the one row of right with its key, if there is one. Rows of a frequent key
+    are dealt to so many copies of that row, by a hash of the columns by."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return dealt.join(copies, [*([key] if isinstance(key, str) else key), "__salt"], "left").drop("__salt")
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the rows that no training may see: crc32 of the id as text is a multiple of 5."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

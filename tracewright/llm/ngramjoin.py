@@ -10,10 +10,12 @@ and each fragment's task sees the segments that fall into it, of all sets:
 2. Back with its set, the n-grams are put in order of rarity. Two sets that reach the
    threshold share one of the first n - ceil(t n) + 1 n-grams of either; a set whose
    first ones are all its own can have no partner and is done.
-3. Candidates share a first n-gram. Each holder of it is first linked with one leader of
-   the n-gram only; after these links have been joined to components, the pairs that are
-   still in different components follow. So a group of near copies takes as many pairs as
-   it has members, and no link between components is missed.
+3. Candidates share a first n-gram. In the first rounds each set is compared with one
+   leader only, then with the leaders of all its n-grams, always leaving out pairs that
+   the links found so far have joined to one component; the last round compares the holders
+   of n-grams that are still held in several components, of which one at least must have the
+   n-gram among its first seventh. So a group of near copies takes about as many pairs as it
+   has members, and no link between components is missed.
 4. Overlaps of candidates are counted per fragment, and the counts summed per pair.
 """
 
@@ -24,40 +26,44 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import shingles
-from tracewright.llm.common import DOC_COLUMNS, document_columns, written
+from tracewright.llm.common import DOC_COLUMNS, document_columns, in_slices, salted_join, written
 from tracewright.llm.components import components
 
 THRESHOLD = 75  # per cent
 #: Bytes of text whose n-grams one fragment's task gets on the mean, and of a batch.
-FRAGMENT_BYTES = BATCH_BYTES = 8 << 20
+FRAGMENT_BYTES = BATCH_BYTES = 4 << 20
 #: So many sets of a batch make an n-gram frequent there.
 FREQUENT = 64
 #: Bits by which n-grams of one fragment are told apart.
 BITS = 48
-#: Fragments in which the overlaps of candidates are counted.
-PARTS = 4
+#: Mean n-grams of the longest set in a fragment in which overlaps of candidates are counted.
+SEGMENT = 4096
 #: Most candidates whose sets' fingerprints are broadcast; more are joined by shuffle.
 BROADCAST_PAIRS = 500_000
+#: Most dropped documents whose keys are broadcast; more are joined by shuffle.
+BROADCAST_DROPS = 1_000_000
 #: 64-bit words of a set's parity sketch.
 SKETCH = 8
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and fp (128 bits of the set; null for an empty one) of each row."""
-    src = docs.select("doc_id", F.col("text").alias("__text"))
+    """doc_id, th (hash of the text), n_shingles and fp (128 bits of the set; null for an empty
+    one) of each row."""
+    src = docs.select("doc_id", F.xxhash64("text").alias("__th"), F.col("text").alias("__text"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
-            sets = shingles.shingle_sets(b.column(1).to_pylist())
+        for b in in_slices(batches):
+            sets = shingles.shingle_sets(b.column(2).to_pylist())
             fps = [shingles.fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "n_shingles", "fp"])
+            cols = [b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp binary")
+    return src.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, fp binary")
 
 
 class Fragments:
@@ -107,10 +113,10 @@ def _batch_rows(sets: dict[bytes, np.ndarray], cut: Fragments) -> list[tuple]:
     rows = []
     for f in range(cut.n):
         if p[f] < p[f + 1] or h[f] < h[f + 1]:
-            # by holder, so that the holders are a count for each set; frequent ones behind
+            # by holder, so that holders are small steps; frequent ones behind
             t, w = tokens[p[f] : p[f + 1]], who[p[f] : p[f + 1]]
             order = np.argsort(w, kind="stable")
-            rows.append((f, key, 0, cut.pack(f, t[order]) + cut.pack(f, hot[h[f] : h[f + 1]]), _counts(w, len(fps)), hot_n[h[f] : h[f + 1]].astype("<i4").tobytes()))
+            rows.append((f, key, 0, cut.pack(f, t[order]) + cut.pack(f, hot[h[f] : h[f + 1]]), _steps(w[order]), planes(hot_n[h[f] : h[f + 1]])))
     # equal sets of several batches: the fragment of a set's fingerprint says whose it is
     home: dict[int, list[int]] = {}
     for k, fp in enumerate(fps):
@@ -121,33 +127,50 @@ def _batch_rows(sets: dict[bytes, np.ndarray], cut: Fragments) -> list[tuple]:
     return rows
 
 
-def _counts(who: np.ndarray, n: int) -> bytes:
-    return np.bincount(who, minlength=n).astype("<u4").tobytes()
+def planes(x: np.ndarray) -> bytes:
+    """Numbers under 2^32, byte by byte of all of them, so that high zeros compress away."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _steps(who: np.ndarray) -> bytes:
+    return planes(np.diff(who, prepend=0))
+
+
+def _holders(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data))
 
 
 def _segments(docs: DataFrame, fragments: int) -> DataFrame:
-    """Rows for each batch of documents and fragment: kind 0 has n-grams, by holder, and
-    how many each set of the batch holds, then frequent n-grams and their counts; kind 1
-    (one a batch) the fingerprints and sizes, with the holders of frequent n-grams; kind 3
-    the fingerprints that are compared in this fragment, and their places."""
+    """Rows for each batch of documents and fragment that has n-grams of it: kind 0 has
+    n-grams and their holders, then frequent n-grams and their counts; kind 1 (one a batch)
+    the fingerprints and sizes, with the holders of frequent n-grams; kind 3 the
+    fingerprints that are compared in this fragment, and their places. All are sparse: what
+    a batch sends is in proportion to its text, whatever the number of fragments."""
 
     def run(batches):
         cut = Fragments(fragments)
-        for b in batches:
-            texts, at = b.column(0).to_pylist(), 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and (end == at or size < BATCH_BYTES):
-                    size, end = size + len(texts[end] or ""), end + 1
-                sets: dict[bytes, np.ndarray] = {}
-                for s in shingles.shingle_sets(texts[at:end]):
-                    if len(s):
-                        sets.setdefault(shingles.fingerprint(s), s)
-                at = end
-                if sets:
-                    rows = _batch_rows(sets, cut)
-                    kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["frag", "batch", "kind", "tokens", "who", "freq"])
+        kinds = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        sets: dict[bytes, np.ndarray] = {}
+        size = 0
+
+        def out():
+            rows = _batch_rows(sets, cut)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["frag", "batch", "kind", "tokens", "who", "freq"])
+
+        for b in in_slices(batches):
+            for s in shingles.shingle_sets(b.column(0).to_pylist()):
+                if len(s):
+                    sets.setdefault(shingles.fingerprint(s), s)
+            size += b.column(0).nbytes
+            if size >= BATCH_BYTES and sets:
+                yield out()
+                sets, size = {}, 0
+        if sets:
+            yield out()
 
     return docs.select("text").mapInArrow(run, _ROW)
 
@@ -155,7 +178,9 @@ def _segments(docs: DataFrame, fragments: int) -> DataFrame:
 def _counted(rows: pd.DataFrame) -> pd.DataFrame:
     """A fragment: its n-grams that several sets have, by batch, with their counts. Rows of
     kind 1 pass. Kind 0 goes out with freq for the plain n-grams, kind 2 for frequent ones,
-    kind 4 with the places of sets that the batch of least key stands for."""
+    kind 4 with the places of sets that the batch of least key stands for. Batches that hold
+    the same count once."""
+    rows = rows.drop_duplicates(["batch", "kind"])
     meta, own = rows[rows.kind == 1], rows[rows.kind == 0]
     out = [tuple(r) for r in meta.itertuples(index=False)]
     owner: dict[bytes, bytes] = {}
@@ -170,27 +195,27 @@ def _counted(rows: pd.DataFrame) -> pd.DataFrame:
             out.append((0, key, 4, b"", b"".join(other), b""))
     # six bytes an n-gram are compared as they are
     tokens = [np.pad(np.frombuffer(x, np.uint8).reshape(-1, 6), ((0, 0), (0, 2))).view("<u8").ravel() for x in own.tokens]
-    held = [np.frombuffer(x, "<u4") for x in own.who]
-    hot_n = [np.frombuffer(x, "<i4") for x in own.freq]
+    hot_n = [from_planes(x) for x in own.freq]
     if tokens:
         every = np.concatenate(tokens)
         weight = np.concatenate([np.concatenate([np.ones(len(t) - len(n), np.int64), n]) for t, n in zip(tokens, hot_n, strict=True)])
+        del tokens
         order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        every = every[order]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
         total = np.minimum(np.add.reduceat(weight[order], np.flatnonzero(new)), (1 << 31) - 1)
-        df = np.empty(len(every), "<i4")
+        df = np.empty(len(every), np.int32)
         df[order] = total[np.cumsum(new) - 1]
         at = 0
-        for frag, key, raw, h, n in zip(own.frag, own.batch, own.tokens, held, hot_n, strict=True):
+        for frag, key, raw, who, n in zip(own.frag, own.batch, own.tokens, own.who, hot_n, strict=True):
             six, size = np.frombuffer(raw, np.uint8).reshape(-1, 6), len(raw) // 6 - len(n)
             d = df[at : at + len(six)]
             at += len(six)
             keep = d[:size] > 1
             if keep.any():
-                out.append((frag, key, 0, six[:size][keep].tobytes(), _counts(np.repeat(np.arange(len(h)), h)[keep], len(h)), d[:size][keep].tobytes()))
+                out.append((frag, key, 0, six[:size][keep].tobytes(), _steps(_holders(who)[keep]), planes(d[:size][keep])))
             if len(n):
-                out.append((frag, key, 2, six[size:].tobytes(), b"", d[size:].tobytes()))
+                out.append((frag, key, 2, six[size:].tobytes(), b"", planes(d[size:])))
     return pd.DataFrame(out, columns=["frag", "batch", "kind", "tokens", "who", "freq"])
 
 
@@ -207,15 +232,15 @@ def _ordered(cut: Fragments, rows: pd.DataFrame) -> pd.DataFrame:
     sizes = np.frombuffer(meta.tokens, np.int32, n_sets, 16 * n_sets).astype(np.int64)
     plain, often = rows[rows.kind == 0], rows[rows.kind == 2]
     tokens = [cut.unpack(f, x) for f, x in zip(plain.frag, plain.tokens, strict=True)]
-    who = [np.repeat(np.arange(n_sets, dtype=np.int32), np.frombuffer(x, "<u4")) for x in plain.who]
-    df = [np.frombuffer(x, "<i4") for x in plain.freq]
+    who = [_holders(x) for x in plain.who]
+    df = [from_planes(x) for x in plain.freq]
     if len(often):
         hot = np.concatenate([cut.unpack(f, x) for f, x in zip(often.frag, often.tokens, strict=True)])
-        hot_df = np.concatenate([np.frombuffer(x, "<i4") for x in often.freq])
+        hot_df = np.concatenate([from_planes(x) for x in often.freq])
         order = np.argsort(hot)
         mine = np.frombuffer(meta.who, np.uint64)
         tokens.append(mine)
-        who.append(np.frombuffer(meta.freq, np.int32))
+        who.append(np.frombuffer(meta.freq, np.int32).astype(np.int64))
         df.append(hot_df[order][np.searchsorted(hot[order], mine)])
     out = []
     if tokens:
@@ -243,30 +268,53 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def shared_sets(docs: DataFrame) -> DataFrame:
-    """fp, n, own, p and tokens of the distinct sets that may have a partner."""
+    """id (a number of its own), fp, n, own, p, tokens and sketch of the distinct sets that may
+    have a partner."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(8, math.ceil(n_bytes / FRAGMENT_BYTES))
     counted = _segments(docs, fragments).groupBy("frag").applyInPandas(_counted, _ROW)
     cut = Fragments(fragments)
     sets = counted.groupBy("batch").applyInPandas(lambda rows: _ordered(cut, rows), "fp binary, n int, own int, p int, tokens array<long>, sketch array<long>")
-    return written(sets, "shared-sets")
+    return written(sets.withColumn("id", F.monotonically_increasing_id()), "shared-sets")
+
+
+def _cut(held: DataFrame) -> DataFrame:
+    """id, parts, g and seg: the n-grams of each set by fragment, of which there are parts."""
+
+    def run(batches):
+        for b in batches:
+            ids, parts, g, seg = [], [], [], []
+            for k, n, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                t = tokens.values.to_numpy()
+                at = np.zeros(len(t), np.int64) if n == 1 else ((t / 2.0**64 + 0.5) * n).astype(np.int64)
+                order = np.argsort(at, kind="stable")
+                edges = [0, *(np.flatnonzero(np.diff(at[order])) + 1), len(t)]
+                for lo, hi in zip(edges, edges[1:], strict=False):
+                    if lo < hi:
+                        ids.append(k), parts.append(n), g.append(int(at[order[lo]])), seg.append(t[order[lo:hi]])
+            cols = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(g, pa.int32()), pa.array(seg, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "parts", "g", "seg"])
+
+    return held.select("id", "parts", "tokens").mapInArrow(run, "id long, parts int, g int, seg array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold: overlaps are counted in
-    each fragment by itself and summed per pair."""
-    width = (1 << 64) // PARTS
-    edges = [-(1 << 63) + k * width for k in range(PARTS)]
-    part = [F.filter("tokens", (lambda lo, hi: lambda t: (t >= lo) & (t <= hi))(lo, lo + width - 1)) for lo in edges]
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        # 16 bytes a set; the arrays of sets without candidates stay where they are
+    """The pairs (a, b) whose similarity reaches the threshold: for those whose sketches leave
+    it within reach, overlaps are counted in each fragment by itself and summed per pair. The
+    larger of two sets says how many fragments there are, so none of their parts is long."""
+    slim = sets.select("id", F.struct("n", "own", "sketch").alias("s"))
+    near = pairs.join(slim.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    near = near.join(slim.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").where(_alike("x", "y"))
+    parts = F.ceil(F.greatest("x.n", "y.n") / F.lit(SEGMENT)).cast("int").alias("parts")
+    near = written(near.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), parts), "alike")
+    ends = near.select(F.explode(F.array("a", "b")).alias("id"), "parts").distinct()
+    if near.count() <= BROADCAST_PAIRS:
+        # 12 bytes a set; the arrays of sets without candidates stay where they are
         ends = F.broadcast(ends)
-    segments = sets.join(ends, "fp", "left_semi").select("fp", "n", F.posexplode(F.array(*part)).alias("g", "seg"))
-    left = segments.select(F.col("fp").alias("a"), F.col("n").alias("na"), "g", F.col("seg").alias("sa"))
-    right = segments.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "g", F.col("seg").alias("sb"))
-    counted = pairs.select("a", "b").join(left, "a").join(right, ["b", "g"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-    total = counted.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("o").alias("o"))
+    held = _cut(sets.join(ends, "id"))
+    left, right = (held.select(F.col("id").alias(s), "parts", "g", F.col("seg").alias("s" + s)) for s in "ab")
+    counted = near.join(left, ["a", "parts"]).join(right, ["b", "parts", "g"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
+    total = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return total.where(f"100 * o >= {THRESHOLD} * (na + nb - o)").select("a", "b")
 
 
@@ -283,33 +331,50 @@ def _alike(a: str, b: str) -> str:
     return f"{100 + THRESHOLD} * ({a}.own + {b}.own + {differ}) <= {100 - THRESHOLD} * ({a}.n + {b}.n)"
 
 
+def _leaders(at: DataFrame) -> DataFrame:
+    """Of each n-gram held in several components: the holders of least and greatest component,
+    and as lead the one that has it foremost for its size."""
+    member = F.struct("comp", "id", "n", "pos")
+    foremost = F.struct((F.col("pos") * 16 / F.col("n")).cast("int").alias("rank"), "id", "comp", "n", "pos")
+    found = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y"), F.min(foremost).alias("lead"))
+    return found.where("x.comp < y.comp")
+
+
 def set_components(docs: DataFrame) -> DataFrame:
-    """(fp, comp) of the sets with links; comp is one of the component's sets."""
+    """(fp, comp) of the sets with links; comp is the fp of one of the component's sets."""
     sets = shared_sets(docs)
-    exploded = sets.select("fp", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k")
+    exploded = sets.select("id", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("k", "token"), (F.col("own") + F.col("k")).alias("pos")).drop("k")
     several = exploded.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     open_rows = written(exploded.join(several, "token", "left_semi"), "first-ngrams")
     comps = links = None
-    for leaders in (True, True, False):
+    for what in ("one", "leaders", "rest"):
         # an n-gram whose holders are in one component has no more to tell
         if comps is None:
-            at = open_rows.withColumn("comp", F.col("fp"))
-            member = F.struct("fp", "n", "pos")
-            open_ = open_rows.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y"))
-            open_ = open_.select("token", *[F.struct(F.col(f"{s}.fp").alias("comp"), f"{s}.fp", f"{s}.n", f"{s}.pos").alias(s) for s in "xy"])
+            at = open_rows.withColumn("comp", F.col("id"))
+            leaders = _leaders(at)
         else:
-            at = open_rows.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-            member = F.struct("comp", "fp", "n", "pos")
-            open_ = at.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y")).where("x.comp < y.comp")
-            at = written(at.join(open_.select("token"), "token", "left_semi"), "open-ngrams")
-            open_rows = at.drop("comp")
-        if leaders:
-            to = open_.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", "l.*")
-            both = at.alias("a").join(to.alias("b"), "token").where("a.comp <> b.comp").where(_near("a", "b"))
+            at = written(open_rows.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "open-ngrams")
+            leaders = _leaders(at)
+            if what == "leaders":
+                leaders = written(leaders, "leaders")
+        if what == "one":
+            best = F.struct("lead.rank", "lead.id", "lead.n", "lead.pos")
+            other = F.struct(F.lit(99).alias("rank"), "x.id", "x.n", "x.pos")
+            both = at.alias("a").join(leaders.select("token", F.explode(F.array(best, other)).alias("b")), "token").where("a.id <> b.id").where(_near("a", "b"))
+            both = both.groupBy(F.col("a.id").alias("p")).agg(F.min(F.struct("b.rank", "b.id")).alias("b")).select("p", F.col("b.id").alias("q"))
+        elif what == "leaders":
+            shape = [F.struct(f"{s}.id", f"{s}.comp", f"{s}.n", f"{s}.pos") for s in ("x", "y", "lead")]
+            to = leaders.select("token", F.explode(F.array_distinct(F.array(*shape))).alias("b"))
+            both = at.alias("a").join(to, "token").where("a.comp <> b.comp").where(_near("a", "b"))
+            both = both.select(F.col("a.id").alias("p"), F.col("b.id").alias("q"))
         else:
-            at = at.join(sets.select("fp", "own", "sketch"), "fp")
-            both = at.alias("a").join(at.alias("b"), "token").where("a.fp < b.fp and a.comp <> b.comp").where(_near("a", "b")).where(_alike("a", "b"))
-        pairs = written(both.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b")).distinct(), "candidates")
+            # the places of the first common n-gram add up to a seventh of both sizes at most
+            front = "{0}.pos * (100 + {1}) <= {0}.n * (100 - {1})"
+            at = at.join(leaders.select("token"), "token", "left_semi").join(sets.select("id", "own", "sketch"), "id")
+            both = at.alias("a").where(front.format("a", THRESHOLD)).join(at.alias("b"), "token").where("a.comp <> b.comp")
+            both = both.where(f"a.id < b.id or not ({front.format('b', THRESHOLD)})").where(_near("a", "b")).where(_alike("a", "b"))
+            both = both.select(F.col("a.id").alias("p"), F.col("b.id").alias("q"))
+        pairs = written(both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "candidates")
         if pairs.isEmpty():
             continue
         found = written(_linked(pairs, sets), "found")
@@ -317,7 +382,25 @@ def set_components(docs: DataFrame) -> DataFrame:
         comps = components(links)
     if comps is None:
         return sets.select("fp", F.col("fp").alias("comp")).where("false")
-    return comps.select(F.col("node").alias("fp"), "comp")
+    named = sets.select(F.col("id").alias("node"), "fp")
+    tops = named.select(F.col("node").alias("comp"), F.col("fp").alias("top"))
+    return salted_join(comps.join(named, "node"), tops, "comp", "node").select("fp", F.col("top").alias("comp"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, comp (null for empty sets) and component_id of every row."""
+    rows = written(document_sets(docs), "document-sets")
+    comps = set_components(docs)
+    same = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
+    of = same.join(comps, "fp", "left").where("c > 1 or comp is not null").select("fp", F.coalesce("comp", "fp").alias("comp"), "d")
+    of = written(of, "set-components")
+    least = of.groupBy("comp").agg(F.min("d").alias("component_id"))
+    of = salted_join(of.select("fp", "comp"), least, "comp", "fp").select("fp", "comp", "component_id")
+    # rows without a set have a key each, which no set has
+    key = F.coalesce("fp", F.encode(F.xxhash64("doc_id", "th").cast("string"), "utf-8"))
+    out = salted_join(rows.withColumn("fp", key).withColumn("own", F.when(F.col("n_shingles") > 0, F.col("fp"))), of, "fp", "doc_id", "th")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("comp", "own").alias("comp"), component)
 
 
 def op8_ngram_join(docs: DataFrame) -> DataFrame:
@@ -327,20 +410,34 @@ def op8_ngram_join(docs: DataFrame) -> DataFrame:
     own id. Rows with equal sets are linked, whatever their ids; rows without id take
     part, and a component of such rows alone has none. docs must be a stable table, as
     files are: batches are told apart by what they hold."""
-    rows = document_sets(docs)
-    comps = set_components(docs)
-    placed = rows.join(comps, "fp", "left").select("doc_id", "n_shingles", F.coalesce("comp", "fp").alias("comp"))
-    least = placed.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "comp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _placed(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that stand for their component: those with its least id. Of rows with
-    that id one stays; documents without words or id stay all."""
-    found = op8_ngram_join(docs).where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    kept = document_columns(docs).join(found, "doc_id", "left_anti")
-    keyed, rest = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    return keyed.dropDuplicates(["doc_id"]).select(*DOC_COLUMNS).union(rest)
+    """One row of each component: that with the least id (rows without id come last), of those
+    the one with the least hash of its text, of these the least in its other columns. Rows
+    of one id with texts of different components are judged apart. Rows without words stay
+    all."""
+    rows = written(_placed(docs).where("n_shingles > 0"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    best = rows.groupBy("comp").agg(F.min(order).alias("best"))
+    gone = salted_join(rows.select("comp", "doc_id", "th"), best, "comp", "doc_id", "th").where(~order.eqNullSafe(F.col("best")))
+    gone = written(gone.select("doc_id", "th").distinct(), "gone")
+    often = rows.groupBy("doc_id", "th").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", "th")
+
+    def keyed(keys: DataFrame) -> tuple[DataFrame, Column]:
+        keys = keys.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_DROPS else keys
+        return keys, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))
+
+    keys, same = keyed(gone)
+    kept = document_columns(docs).withColumn("__th", F.xxhash64("text")).join(keys, same, "left_anti")
+    again, same = keyed(often)
+    if not again.isEmpty():
+        other = kept.join(again, same, "left_anti")
+        one = kept.join(again, same, "left_semi").groupBy("doc_id", "__th").agg(F.min(F.struct(*DOC_COLUMNS)).alias("r")).select("r.*", "__th")
+        kept = other.unionByName(one)
+    return document_columns(kept)
 
 
 ORACLE = r"""
