@@ -239,6 +239,30 @@ def test_sets_that_share_a_little_have_no_partner(spark):
     assert sorted(tuple(x) for x in ngramjoin.op8_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
 
 
+def test_long_sets_are_cut_and_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "SEGMENT", 50)
+    monkeypatch.setattr(ngramjoin, "BROADCAST_PAIRS", 0)
+    r, rows = random.Random(3), []
+    for g, n in enumerate((40, 120, 500, 2000)):
+        base = words(n, 900 + g, 9000)
+        for k in range(6):
+            w = list(base)
+            for _ in range(n * k // 100):
+                w[r.randrange(n)] = f"z{r.randrange(10**6)}"
+            rows.append((100 * g + k, " ".join(w[: n - k])))
+    assert sorted(tuple(x) for x in ngramjoin.op8_ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_components(rows)
+
+
+def test_one_of_each_keeps_other_texts_of_an_id(spark, monkeypatch):
+    texts = [(5, "alpha beta gamma"), (5, "delta epsilon"), (7, "alpha beta gamma"), (7, "other words here"), (7, "Other words here"), (7, "other words here"), (None, "delta epsilon"), (None, "alone without id"), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t) if t else None) for d, t in texts], DOCS)
+    want = [(5, "alpha beta gamma"), (5, "delta epsilon"), (7, "other words here"), (9, ""), (9, ""), (None, None), (None, "alone without id")]
+    for drops in (1_000_000, 0):
+        monkeypatch.setattr(ngramjoin, "BROADCAST_DROPS", drops)
+        got = [(r.doc_id, r.text and r.text.lower()) for r in ngramjoin.one_of_each(docs).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r.node: r.comp for r in components.components(links).collect()}
@@ -296,6 +320,19 @@ def test_planted_passages_go_whole(spark):
     assert [r.text for r in same] == ["x y", "p\nq", "p\nr"]
 
 
+def test_short_passages_of_fifty_words_go_whole(spark):
+    texts, want = [], []
+    shapes = [(45, 6), (6, 45), (20, 20, 12), (5, 5, 45), (14, 24, 13), (17, 17, 17), (51,), (13, 13, 13, 13), (1, 40, 1, 10)]
+    for k in range(45):
+        passage = [" ".join(words(n, 900_000 + 10 * k + j, 9000)) for j, n in enumerate(shapes[k % len(shapes)])]
+        for copy in range(2):
+            around = [[" ".join(words(7 + (k * copy) % 5, 500_000 + 100 * k + 50 * copy + 25 * side + j, 9000)) for j in range(1 + k % 4)] for side in (0, 1)]
+            texts.append("\n".join([*around[0], *passage, *around[1]]))
+            want.append("\n".join([*around[0], *([] if copy else passage), *around[1]]))
+    got = {r.doc_id: r.text for r in linechunks.remove_passages(documents(spark, texts)).collect()}
+    assert [got[k] for k in range(1, len(texts) + 1)] == want
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(300)]
     ends = {lines[hi - 1] for _, hi in linechunks.chunks(lines)}
@@ -324,6 +361,33 @@ def test_cotraining_tells_junk(spark):
     assert cotrain.op1_cotrain(documents(spark, []), labels).count() == 0
 
 
+def test_cotraining_counts_words_and_keeps_rows_for_the_curves(spark):
+    r = random.Random(5)
+    good = [" ".join(f"fine{r.randrange(40)}" if r.random() < 0.3 else f"w{r.randrange(4000)}" for _ in range(60)) for _ in range(300)]
+    poor = [" ".join(f"poor{r.randrange(40)}" if r.random() < 0.3 else f"w{r.randrange(4000)}" for _ in range(60)) for _ in range(300)]
+    docs = documents(spark, good + poor)
+    labels = spark.createDataFrame([(k + 1, int(k < 300), 0) for k in range(600) if k % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in cotrain.op1_cotrain(docs, labels).collect()}
+    assert np.mean([got[k + 1].predicted == int(k < 300) for k in range(600)]) > 0.97
+    # the counts of a model against plain counting, over shape and words
+    rows = cotrain.features(docs).join(labels.select("doc_id", F.col("quality").alias("y")), "doc_id", "left")
+    model = cotrain._text_model(rows, "y")
+    n = np.ones((2, cotrain.WORD_BINS))
+    for k, t in enumerate(good + poor):
+        if k % 2:
+            n[int(k < 300), cotrain.word_bins(t)] += 1
+    assert np.allclose(model.words, np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum()))
+    odd_rows = cotrain.op1_cotrain(odd(spark).union(docs.withColumns({c: F.lit(1) for c in odd(spark).columns[5:]})), labels).collect()
+    assert len(odd_rows) == len(ODD) + 2 + 600 and all(0 <= x.score <= 1 for x in odd_rows)
+
+
+def test_a_licence_inside_one_line_and_whole_texts():
+    scanner = licences.Scanner(licences.TEMPLATES)
+    for name, forms in licences.TEMPLATES.items():
+        text = " ".join(words(40, 1)) + " " + forms[-1] + " " + " ".join(words(40, 2))
+        assert name in {x[0] for x in scanner.scan_words(text)}
+
+
 def brute_licences(text, templates, t):
     found = {}
     lines = (text or "").split("\n")
@@ -497,6 +561,41 @@ def test_neighbours_against_brute_force(spark):
     assert ann.op10_ann(df.limit(0)).count() == 0
 
 
+def test_the_stopping_test_spares_most_vectors_of_clusters():
+    r = np.random.default_rng(12)
+    centres = r.standard_normal((500, 64))
+    x = (centres[r.integers(0, 500, 100_000)] + 0.25 * r.standard_normal((100_000, 64))).astype(np.float32).astype(float)
+    hits = verified = 0
+    blocks = [ann.Block(np.arange(k, 100_000, 4), x[k::4], 20, float((x**2).sum(1).max())) for k in range(4)]
+    for q in range(0, 40_000, 1000):
+        found = sorted((t for b in blocks for t in b.nearest(q, x[q])), key=lambda t: (-t[0], t[1]))[:20]
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len({v for _, v in found} & set(np.argsort(-s)[:20].tolist()))
+    verified = sum(b.verified for b in blocks)
+    assert hits >= 0.9 * 40 * 20 and verified < 0.3 * 40 * 100_000
+
+
+def test_neighbours_over_cells_and_repeated_vectors(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([(c + 0.1 * r.standard_normal((80, 12))) for c in 3 * r.standard_normal((15, 12))]).astype(np.float32)
+    x[300:700] = x[300]  # a third of all rows hold one vector
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(k, [float(k), 1.0, 0.5]) for k in range(2000, 2045)] + [(0, [9.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = wanted = 0
+    by: dict[int, list] = {}
+    for g in ann.op10_ann(df, block_rows=100, query_rows=16).orderBy("query_id", "rank").collect():
+        by.setdefault(g.query_id, []).append((g.vec_id, g.score))
+    assert sorted(by) == [*range(0, 1200, 20), 2000, 2020, 2040] and all(len(m) == 20 for m in by.values())
+    for q in range(20, 1200, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        want = sorted(np.sort(np.delete(s, q))[::-1][:20].round(6).tolist())
+        wanted += 20
+        found += sum(min(a, b) >= 0 and abs(a - b) < 1e-5 for a, b in zip(want, sorted(v for _, v in by[q]), strict=True)) if min(want) >= 0 else 20
+    assert found >= 0.9 * wanted
+    assert [v for v, _ in by[2000]] == list(range(2044, 2024, -1))
+
+
 def test_chi_square():
     assert np.allclose(ann.chi_square_cdf(np.array([0.0, 7.344, 15.507]), 8), [0, 0.5, 0.95], atol=1e-3)
 
