@@ -9,6 +9,7 @@ go through a logistic curve.
 
 The lexicon, the exceptions and the curve are learned from at most `max_train`
 labelled rows, taken in the order of a hash of doc_id; everything else covers all rows.
+What comes to the driver while learning is bounded by that sample alone.
 """
 
 from __future__ import annotations
@@ -117,7 +118,9 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, fl
 
 
 def _prefixes(folded: str, lo: int = 3, hi: int = 12) -> set[str]:
-    return {w[:k] for w in set(folded.split()) for k in range(lo, min(hi, len(w)) + 1)}
+    """Beginnings of lo to hi letters of each word, and the word, however long."""
+    words = set(folded.split())
+    return {w[:k] for w in words for k in range(lo, min(hi, len(w)) + 1)} | {w for w in words if len(w) > hi}
 
 
 def _contexts(folded: str) -> dict[str, str]:
@@ -126,11 +129,11 @@ def _contexts(folded: str) -> dict[str, str]:
     return dict(zip(reversed(words), reversed(["", *words[:-1]]), strict=True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candidates: int = 50_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, chance: float = 1e-5, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Learn a lexicon from labelled rows outside the held-out fold.
 
-    Candidates are the word beginnings of toxic sample texts with more support than
-    chance gives any of them, after varying words (else copies of one text would make
+    Candidates are all words and word beginnings of toxic sample texts with more support than
+    they get by chance with this probability, after varying words (else copies of one text would make
     terms of all its words). The greedy choice takes the one that explains most toxic
     texts, those already explained counting less each time, less a fine for clean texts
     that hold it; of equals the longest. Rows without id, text or label, and ids with
@@ -156,10 +159,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, max_candi
     n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
     if not n_toxic:
         return Lexicon(exceptions=tuple(fold(x).strip() for x in exceptions))
-    # so that fewer than one candidate in all has this support by chance
-    least = max(2, math.ceil(math.log(2 * max_candidates) / math.log(1 / min(0.5, n_toxic / (n_toxic + n_clean)))))
+    least = max(2, math.ceil(math.log(1 / chance) / math.log(1 / min(0.5, n_toxic / (n_toxic + n_clean)))))
     found = rows.where("toxic > 0").select("text").mapInArrow(toxic_prefixes, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, 3))
-    support = {r.term: r.n for r in found.orderBy(F.desc("n"), "term").limit(max_candidates).collect()}
+    support = {r.term: r.n for r in found.orderBy(F.desc("n"), "term").collect()}
     candidates = list(support)
     index = {t: k for k, t in enumerate(candidates)}
 
@@ -264,7 +266,7 @@ def _harmless(rows: DataFrame, terms: dict[str, float], least: int = 3, share: f
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["p", "y", "n"])
 
     found = rows.mapInArrow(pairs, "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("if(y = 0, n, 0)")).alias("c"), F.sum("n").alias("n"))
-    return tuple(r.p for r in found.where((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))).orderBy(F.desc("c"), "p").limit(1000).collect())
+    return tuple(r.p for r in found.where((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))).orderBy(F.desc("c"), "p").collect())
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
@@ -295,12 +297,17 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> D
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of docs."""
+    """doc_id, held_out, score and predicted of every row of docs, with n_words, n_hits and weight.
+
+    Null and empty texts have no words and the curve's least score; without any toxic label
+    outside the held-out fold every score is 0. Rows that repeat, and rows without id, are each
+    scored; an empty table gives no rows. Other columns of both tables are left alone."""
     scored = score(docs, learn(docs, labels, **params))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_words", "n_hits", "weight")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The documents that aren't predicted toxic, with the columns of documents."""
+    """The documents that aren't predicted toxic, with the columns of documents. Rows without
+    text or id, and rows that repeat, are judged like all others."""
     scored = score(document_columns(docs), learn(docs, labels, **params), keep=["doc_id", "text", "lang", "source", "n_chars"])
     return document_columns(scored.where("predicted = 0"))
