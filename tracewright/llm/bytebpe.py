@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 
@@ -219,11 +220,11 @@ class Vocabulary:
 
     def encoded(self, text: str | None, pattern: str) -> tuple[str, bytes]:
         """The same for a text. A space between two characters that aren't white space
-        starts a piece, whatever surrounds it, so such texts are cut there and whole
-        words looked up; others are split by the pattern as a whole."""
+        starts a piece of PATTERN, whatever surrounds it, so such texts are cut there and whole
+        words looked up; others, and all texts under another pattern, are split as a whole."""
         if not text:
             return "", b""
-        words = pieces(text, pattern) if RUNS.search(text) or text[-1] == " " else text.replace(" ", "\0 ").split("\0") if "\0" not in text else pieces(text, pattern)
+        words = pieces(text, pattern) if pattern != PATTERN or RUNS.search(text) or text[-1] == " " else text.replace(" ", "\0 ").split("\0") if "\0" not in text else pieces(text, pattern)
         if not words[0]:
             words = words[1:]
         get, miss = self._new.get, self.encoded_word
