@@ -186,9 +186,34 @@ def _(t: Tables) -> DataFrame:
     return d.withColumn("kind", S.distribution_kind(F.col("category"), F.col("is_key"), F.col("type"))).groupBy("category", "is_key", "type", "kind").agg(F.count("*").alias("n"))
 
 
-@query("select_star_expand")
+@query("select_star_expand", "WITH c AS (SELECT 'orders' t, column_name c, row_number() OVER (ORDER BY column_index) - 1 p FROM duckdb_columns() WHERE table_name = 'orders' UNION ALL SELECT 'region', column_name, row_number() OVER (ORDER BY column_index) - 1 FROM duckdb_columns() WHERE table_name = 'region'), i AS (SELECT o_orderkey, ['orders', 'region', 'orders'][o_orderkey % 3 + 1] t, o_orderkey % 3 k FROM orders) SELECT o_orderkey, c.t table_name, CAST(c.p AS INT) position, c.c column_name, CAST(NULL AS VARCHAR) type FROM i JOIN c USING (t) WHERE k < 2 UNION ALL SELECT o_orderkey, 'orders', 0, 'o_totalprice * 2', 'decimal' FROM i WHERE k = 2")
 def _(t: Tables) -> DataFrame:
-    return S.star_expanded(t.orders.select(F.lit("orders").alias("table_name"), F.lit("*").alias("item")).distinct(), {n: getattr(t, n) for n in RELATIONAL})
+    items = F.element_at(F.array(F.lit("*"), F.lit("region.*"), F.lit("o_totalprice * 2##decimal")), (F.col("o_orderkey") % 3).cast("int") + 1)
+    return S.star_expanded(t.orders.select("o_orderkey", F.lit("orders").alias("table_name"), items.alias("item")), {n: getattr(t, n) for n in ("orders", "region")})
+
+
+@query("sql_writes", "SELECT o_orderkey, 'update' verb, 'stock' table_name, 0 position, 'n' column_name, 'n - ' || o_custkey AS \"value\", '-' own_op FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'update', 'stock', 1, 's', '''a, ' || o_orderstatus || '''', NULL FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'insert', 'log', 0, 'k', '' || o_orderkey, NULL FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT o_orderkey, 'insert', 'log', 1, 'v', '''x,' || o_orderstatus || '''', NULL FROM orders WHERE o_orderkey % 2 = 1")
+def _(t: Tables) -> DataFrame:
+    p, k, st = F.lit, F.col("o_orderkey"), F.col("o_orderstatus")
+    update = F.concat(p("UPDATE stock SET n = n - "), "o_custkey", p(", s = 'a, "), st, p("' WHERE id = "), k)
+    insert = F.concat(p("insert into log (k, v) values ("), k, p(", 'x,"), st, p("')"))
+    return S.writes(t.orders.select("o_orderkey", F.when(k % 2 == 0, update).otherwise(insert).alias("sql"))).drop("sql")
+
+
+@query("sql_literals", "SELECT o_orderkey, 'select a from t where b = ? and c = ? and d = ? and e > ?' template, '-' || o_custkey l0, o_orderstatus l1, '0xFF' l2, CAST(o_custkey AS VARCHAR) || '.5' l3 FROM orders")
+def _(t: Tables) -> DataFrame:
+    p = F.lit
+    sql = F.concat(p("select a from t where b = -"), "o_custkey", p(' and c = "'), "o_orderstatus", p('" and d = 0xFF and e > '), "o_custkey", p(".5"))
+    out = S.parameterized(t.orders.select("o_orderkey", sql.alias("sql")))
+    return out.select("o_orderkey", "template", *[F.get("literals", F.lit(k)).alias(f"l{k}") for k in range(4)])
+
+
+@query("returns_one_row", "SELECT CAST(o_orderkey % 6 AS INT) kind, count(*) FILTER (WHERE o_orderkey % 6 IN (0, 1, 2)) one_row, count(*) n FROM orders GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    heads = ["select * from o where k = ", "SELECT a from o where b > 3 limit 1 -- ", "select count(*) from o where b = ", "select * from o where b = ", "select * from o, p where k = ", "select b, sum(c) from o group by b -- "]
+    kind = (F.col("o_orderkey") % 6).cast("int")
+    text = F.trim(F.regexp_replace(F.concat(F.element_at(F.array(*map(F.lit, heads)), kind + 1), "o_orderkey"), " -- .*$", ""))
+    return t.orders.select(kind.alias("kind"), S.returns_one_row(text, ["k"]).alias("one")).groupBy("kind").agg(F.count_if("one").alias("one_row"), F.count("*").alias("n"))
 
 
 @query("anonymize_sql", "SELECT o_orderkey, 'select  aaa from bbb where ccc = ' || o_orderkey || ' and  ddd = ''' || o_orderstatus || ''' and eee between ' || o_custkey || ' and ' || (o_custkey + 9) \"sql\" FROM orders")
@@ -205,3 +230,9 @@ def _(t: Tables) -> DataFrame:
 @query("ddl_render")
 def _(t: Tables) -> DataFrame:
     return S.rendered_ddl(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS, REFS))
+
+
+@query("ddl_render_anonymous")
+def _(t: Tables) -> DataFrame:
+    named = S.anonymous_names(P.schema_scan({n: getattr(t, n) for n in RELATIONAL}, KEYS, REFS))
+    return S.rendered_ddl(S.with_new_names(named))

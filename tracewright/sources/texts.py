@@ -15,7 +15,7 @@ def parse_schema(lines: DataFrame) -> DataFrame:
     text = F.trim(F.regexp_replace("value", "##.*$", ""))
     body = lines.select(F.regexp_extract(text, r"(?i)^table\[(.*)\]$", 1).alias("b")).where("b <> ''")
     parts = body.select(F.transform(F.split("b", ";"), lambda x: F.trim(x)).alias("p"))
-    own = F.filter(F.slice("p", 2, 10_000), lambda x: ~x.rlike(r"(?i)^(pk|fk)\("))
+    own = F.filter(F.slice("p", F.lit(2), F.size("p")), lambda x: ~x.rlike(r"(?i)^(pk|fk)\("))
     key = F.flatten(F.transform(F.filter("p", lambda x: x.rlike(r"(?i)^pk\(")), lambda x: F.split(F.regexp_extract(x, r"\((.*)\)", 1), r"\s*,\s*")))
     refs = F.transform(F.filter("p", lambda x: x.rlike(r"(?i)^fk\(")), lambda x: F.split(F.regexp_extract(x, r"\((.*)\)", 1), r"\s*,\s*"))
     rows = parts.select(F.get("p", F.lit(0)).alias("table_name"), key.alias("key"), refs.alias("refs"), F.posexplode(own).alias("position", "c"))
@@ -24,21 +24,28 @@ def parse_schema(lines: DataFrame) -> DataFrame:
     return rows.select("table_name", "position", name.alias("column_name"), F.lower(F.get(F.split("c", r"\s+"), F.lit(1))).alias("type"), F.array_contains("key", name).alias("in_key"), F.get(F.get(mine, F.lit(0)), F.lit(1)).alias("refers_to"))
 
 
-def parse_templates(lines: DataFrame, order: list[str]) -> DataFrame:
-    """txn, op_id, block (plain, multiple or branch), branch_no and sql of the statements of
-    templates TX[name, ratio, prepared] ... endtx. lines: value and the order columns; one
-    file's templates are few, and each transaction's lines are numbered apart."""
-    w = W.orderBy(*order)
+def parse_templates(lines: DataFrame, order: list[str], file: str | None = None) -> DataFrame:
+    """txn, ratio (null if open), prepared, op_id, block (plain, multiple or branch), batch,
+    branch_no and sql of the statements of templates TX[name, ratio, prepared] ... endtx. lines:
+    value and the order columns; file is the column that tells template files apart, each of
+    which is one task's work."""
+    own = [file] if file else []
+    w = W.partitionBy(*own).orderBy(*order)
     run = w.rowsBetween(W.unboundedPreceding, 0)
     t = F.lower(F.trim("value"))
     is_tx = t.startswith("tx[")
-    marked = lines.where("trim(value) <> ''").withColumn("tx_no", F.sum(is_tx.cast("int")).over(run)).withColumn("name", F.last(F.when(is_tx, F.regexp_extract("value", r"\[\s*([^,\]]+)", 1)), True).over(run))
-    per = W.partitionBy("tx_no").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    parts = F.transform(F.split(F.regexp_extract("value", r"\[(.*)\]", 1), ","), lambda x: F.trim(x))
+    head = F.struct(F.get(parts, F.lit(0)).alias("name"), F.try_to_number(F.get(parts, F.lit(1)), F.lit("999.999999")).cast("double").alias("ratio"), (F.lower(F.get(parts, F.lit(2))) == "true").alias("prepared"))
+    marked = lines.where("trim(value) <> ''").withColumn("tx_no", F.sum(is_tx.cast("int")).over(run)).withColumn("head", F.last(F.when(is_tx, head), True).over(run))
+    per = W.partitionBy(*own, "tx_no").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     depth = lambda a, b: F.sum(F.when(t.startswith(a), 1).when(t == b, -1).otherwise(0)).over(per)
     d = marked.withColumn("m", depth("multiple", "endmultiple")).withColumn("b", depth("branch", "endbranch")).withColumn("branch_no", F.sum((t == "separator").cast("int")).over(per))
+    d = d.withColumn("batch", F.last(F.when(t.startswith("multiple"), t.rlike(r"\bbatch\b")), True).over(per))
     stmts = d.where(t.rlike(r"^(select|insert|update|delete|replace|call)\b"))
-    op = F.row_number().over(W.partitionBy("tx_no").orderBy(*order))
-    return stmts.select(F.col("name").alias("txn"), op.alias("op_id"), F.when(F.col("m") > 0, "multiple").when(F.col("b") > 0, "branch").otherwise("plain").alias("block"), F.when(F.col("b") > 0, F.col("branch_no")).otherwise(0).alias("branch_no"), F.trim("value").alias("sql"))
+    op = F.row_number().over(W.partitionBy(*own, "tx_no").orderBy(*order))
+    block = F.when(F.col("m") > 0, "multiple").when(F.col("b") > 0, "branch").otherwise("plain")
+    batch = (F.col("m") > 0) & F.coalesce("batch", F.lit(False))
+    return stmts.select(F.col("head.name").alias("txn"), F.col("head.ratio").alias("ratio"), F.coalesce("head.prepared", F.lit(False)).alias("prepared"), op.alias("op_id"), block.alias("block"), batch.alias("batch"), F.when(F.col("b") > 0, F.col("branch_no")).otherwise(0).alias("branch_no"), F.trim("value").alias("sql"))
 
 
 def parse_procedures(lines: DataFrame) -> DataFrame:

@@ -8,12 +8,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Columns that put the lines of read_lines in the order in which they were written.
+LINE_ORDER = ["file_age", "file_path", "block", "line"]
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with the file's sequence number: of rolled files (name.1, name.2,
-    ...) the one with the highest number is the oldest."""
-    name = F.input_file_name()
-    seq = F.regexp_extract(name, r"\.(\d+)$", 1)
-    return spark.read.text(path).select("value", F.when(seq == "", 0).otherwise(seq.cast("int")).alias("file_seq"))
+    """Lines of text files with their place. Of rolled files (name.1, name.2, ...) the one with
+    the highest number is the oldest: file_seq is that number, file_age orders by it. block is the
+    part of the file that a task reads, and line grows within it."""
+    seq = F.regexp_extract(F.col("_metadata.file_path"), r"\.(\d+)$", 1)
+    lines = spark.read.text(path).select("value", F.when(seq == "", 0).otherwise(seq.cast("int")).alias("file_seq"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.select("value", "file_seq", (-F.col("file_seq")).alias("file_age"), "file_path", "block", F.monotonically_increasing_id().alias("line"))
 
 
 def _group(name: str, line: str = "value") -> Column:
@@ -25,8 +30,11 @@ def _every(name: str, line: str = "value") -> Column:
 
 
 def _values(text: Column) -> Column:
-    """Items between commas, spaces and double quotes around them off."""
-    return F.transform(F.split(text, ","), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    """Items between commas, spaces and double quotes around them off; commas inside of quotes
+    are part of an item, and two quotes there stand for one."""
+    items = F.regexp_extract_all(text, F.lit(r'(?:^|,)\s*("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = F.transform(items, lambda x: F.trim(x))
+    return F.transform(plain, lambda x: F.when(x.rlike('^".*"$') & (F.length(x) > 1), F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(F.regexp_replace(x, '^"|"$', "")))
 
 
 def parse_trace(lines: DataFrame) -> DataFrame:
@@ -43,6 +51,29 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     return out.where("ts_ms is not null and conn_id is not null")
 
 
+def parse_numbered(lines: DataFrame) -> DataFrame:
+    """parse_trace of an older log in which each line names its transaction, [txnId=..]: tx_id as
+    well, so no sessions have to be told; lines without one go."""
+    tx = F.try_to_number(_group("txnId"), F.lit("9999999999999999")).cast("long")
+    return parse_trace(lines.withColumn("tx_id", tx)).where("tx_id is not null")
+
+
+def ordered_transactions(df: DataFrame, tx: str, order: list[str]) -> DataFrame:
+    """Statements with tx_start, the time of their transaction's first one; ordered by it, then by
+    transaction and order, as a trace in memory is read."""
+    first = df.groupBy(tx).agg(F.min(order[0]).alias("tx_start"))
+    return df.join(first, tx).orderBy("tx_start", tx, *order)
+
+
+def parse_access_log(lines: DataFrame) -> DataFrame:
+    """ts_ms, txn, op_id and params of lines mark; time; transaction; operation; p1, p2; lines
+    whose time is no number go."""
+    p = F.transform(F.split("value", ";"), lambda x: F.trim(x))
+    ts = F.try_to_number(F.get(p, F.lit(1)), F.lit("9999999999999999")).cast("long")
+    out = lines.select(ts.alias("ts_ms"), F.get(p, F.lit(2)).alias("txn"), F.get(p, F.lit(3)).cast("int").alias("op_id"), _values(F.get(p, F.lit(4))).alias("params"))
+    return out.where("ts_ms is not null")
+
+
 def parse_general_log(lines: DataFrame, order: list[str]) -> DataFrame:
     """Statements of a general log in which rows of results follow theirs: kind stmt or res,
     conn_id, start_ts and text. A statement with start_ts 0 begins a transaction; results are
@@ -65,7 +96,7 @@ def parse_running_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_ids(log: DataFrame, n: int) -> DataFrame:
+def first_ids(log: DataFrame, n: int = 100_000) -> DataFrame:
     """The rows of the n least transaction ids."""
     ids = log.select("tx_id").distinct().orderBy("tx_id").limit(n)
     return log.join(ids, "tx_id", "left_semi")

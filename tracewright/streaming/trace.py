@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def window_counts(stream: DataFrame, ts: str, seconds: int, start_us: int, *by: str, delay: str | None = None) -> DataFrame:
-    """Rows of right-closed windows that begin at start_us. The first instant itself falls
-    into a window before the first, which is folded into it."""
-    at = stream.withColumn("__ts", F.col(ts).cast("timestamp"))
-    if delay:
-        at = at.withWatermark("__ts", delay)
-    number = F.greatest(F.ceil((F.unix_micros("__ts") - F.lit(start_us)) / F.lit(seconds * 1e6)), F.lit(1)).cast("long")
-    return at.groupBy(number.alias("w"), *by).agg(F.count("*").alias("n"))
+def window_counts(stream: DataFrame, ts: str, seconds: int, start_us: int, *by: str, delay: str = "1 day") -> DataFrame:
+    """Rows of right-closed windows that begin at start_us; the first instant itself falls into
+    the first. Windows are of event time, so state of those that the watermark has passed goes."""
+    width = seconds * 1_000_000
+    # a microsecond earlier, what closes a window is inside it
+    at = F.timestamp_micros(F.greatest(F.unix_micros(F.col(ts).cast("timestamp")) - 1, F.lit(start_us)))
+    rows = stream.withColumn("__ts", at).withWatermark("__ts", delay)
+    g = rows.groupBy(F.window("__ts", f"{seconds} seconds", startTime=f"{start_us % width} microseconds").alias("__w"), *by).agg(F.count("*").alias("n"))
+    return g.select(((F.unix_micros("__w.start") - F.lit(start_us)) / width + 1).cast("long").alias("w"), *by, "n")
 
 
 def monitor(stream: DataFrame, ts: str, seconds: int, failed, latency: str, delay: str = "1 minute") -> DataFrame:
@@ -55,22 +57,17 @@ def late_windows(stream: DataFrame, ts: str, seconds: int, start_us: int, key: s
 
 
 def lookback(stream: DataFrame, window: str, value: str, key: str, k: int) -> DataFrame:
-    """Of each key's records, whether the value was seen in the k windows before: state keeps,
-    for each key, the values of the last k windows and the open one."""
+    """Of each key's records, whether the value was seen in the k windows before. State is the last
+    window of each key and value, so a key with many values is spread over many tasks. Windows
+    must come in order."""
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(window).cast("long").alias("w"), F.col(value).cast("long").alias("v"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: dict[int, int] = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for b in batches:
-            b = b.sort_values(["w", "v"])
-            again = []
-            for w, v in zip(b["w"].tolist(), b["v"].tolist(), strict=True):
-                last = seen.get(v)
-                again.append(last is not None and 0 < w - last <= k)
-                seen[v] = max(w, last or w)
-            yield pd.DataFrame({"key": key[0], "w": b["w"], "v": b["v"], "again": again})
-        top = max(seen.values(), default=0)
-        seen = {v: w for v, w in seen.items() if w >= top - k}
-        state.update((list(seen), list(seen.values())))
+        last = state.get[0] if state.exists else None
+        windows = np.sort(np.concatenate([b["w"].to_numpy() for b in batches]))
+        before = np.concatenate([[windows[0] if last is None else last], windows[:-1]])
+        gap = windows - before
+        state.update((int(windows[-1]),))
+        yield pd.DataFrame({"key": key[0], "w": windows, "v": key[1], "again": (gap > 0) & (gap <= k)})
 
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, w long, v long, again boolean", "v array<long>, w array<long>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("key", "v").applyInPandasWithState(step, "key string, w long, v long, again boolean", "w long", "append", GroupStateTimeout.NoTimeout)
