@@ -60,7 +60,7 @@ def _(t: Tables) -> DataFrame:
     return t.orders.crossJoin(F.broadcast(n)).select("o_orderkey", G.foreign_key(order_key(), F.col("n"), 4).alias("fk"))
 
 
-@query("fake_columns")
+@query("fake_columns", f"SELECT o_orderkey, CAST(floor({lcg_sql('o_orderkey', 50)} * 800) AS INT) + 31 fake_0, CAST(floor({lcg_sql('o_orderkey', 51)} * 800) AS INT) + 31 fake_1 FROM orders")
 def _(t: Tables) -> DataFrame:
     return G.with_fake_columns(t.orders.select("o_orderkey"), "o_orderkey", 2)
 
@@ -108,18 +108,20 @@ def _(t: Tables) -> DataFrame:
 
 def _window_candidates(t: Tables) -> DataFrame:
     c = D.candidates(_counts(t), "w", 3, 20, 4)
-    return c.where("w = 5").select(F.col("bucket").cast("int").alias("bucket"), (F.col("place") - 1).alias("place"), "v")
+    return c.select("w", F.col("bucket").cast("int").alias("bucket"), (F.col("place") - 1).alias("place"), "v")
 
 
-@query("gen_seq_key", f"WITH {C_SQL}, s AS (SELECT v, w seen, unnest(range(w + 1, w + 4)) w FROM c), m AS (SELECT v, max(seen) seen, v % 4 bucket FROM s WHERE w = 5 GROUP BY v), d AS (SELECT bucket, v, row_number() OVER (PARTITION BY bucket ORDER BY seen DESC, v) - 1 place FROM m QUALIFY place < 20), z AS (SELECT bucket, max(place) + 1 size FROM d GROUP BY 1) SELECT event_id, CAST(event_id % 4 AS INT) bucket, v FROM events LEFT JOIN z ON z.bucket = event_id % 4 LEFT JOIN d ON d.bucket = event_id % 4 AND d.place = (event_id // 4) % size")
+@query("gen_seq_key", f"WITH {C_SQL}, s AS (SELECT v, w seen, unnest(range(w + 1, w + 4)) w FROM c), m AS (SELECT w, v, max(seen) seen, v % 4 bucket FROM s WHERE w IN (SELECT w FROM c) GROUP BY w, v), d AS (SELECT w, bucket, v, row_number() OVER (PARTITION BY w, bucket ORDER BY seen DESC, v) - 1 place FROM m QUALIFY place < 20), z AS (SELECT w, bucket, max(place) + 1 size FROM d GROUP BY 1, 2) SELECT event_id, e.w, CAST(event_id % 4 AS INT) bucket, d.v FROM e LEFT JOIN z ON z.w = e.w AND z.bucket = event_id % 4 LEFT JOIN d ON d.w = e.w AND d.bucket = event_id % 4 AND d.place = (event_id // 4) % size")
 def _(t: Tables) -> DataFrame:
-    return G.round_robin(t.events.select("event_id"), F.floor(F.col("event_id") / 4), (F.col("event_id") % 4).cast("int"), _window_candidates(t)).select("event_id", "bucket", "v")
+    e = windowed_events(t).select("event_id", "w")
+    return G.round_robin_windows(e, F.floor(F.col("event_id") / 4), (F.col("event_id") % 4).cast("int"), _window_candidates(t)).select("event_id", "w", "bucket", "v")
 
 
-@query("gen_seq_int")
+@query("gen_seq_int", f"WITH {C_SQL}, k60 AS (SELECT w, v, rank - 1 place FROM k WHERE rank <= 60), g AS (SELECT w, v, n, w - lag(w) OVER (PARTITION BY v ORDER BY w) gap FROM c), q AS (SELECT w, CAST(round(sum(CASE WHEN gap = 1 THEN n ELSE 0 END) / sum(n) * 60) AS INT) keep FROM g GROUP BY w), u AS (SELECT DISTINCT user_id v FROM events), f AS (SELECT q.w, u.v, row_number() OVER (PARTITION BY q.w ORDER BY {lcg_sql('u.v', 61)}, u.v) + keep - 1 place FROM q CROSS JOIN u WHERE NOT EXISTS (SELECT 1 FROM k60 WHERE k60.w = q.w AND k60.v = u.v)) SELECT w, place, v, true reused FROM k60 JOIN q USING (w) WHERE place < keep UNION ALL SELECT w, place, v, false FROM f WHERE place < 60")
 def _(t: Tables) -> DataFrame:
-    w = D.top_values(_counts(t), ["w"], 60).select("w", (F.col("rank") - 1).alias("place"), "v")
-    return G.window_candidates(w, t.events.select(F.col("user_id").alias("v")).distinct(), "w", 20, 60)
+    c = _counts(t)
+    w = D.top_values(c, ["w"], 60).select("w", (F.col("rank") - 1).alias("place"), "v")
+    return G.window_candidates(w, t.events.select(F.col("user_id").alias("v")).distinct(), "w", G.measured_keep(c, "w", 60), 60, lcg(F.col("v"), 61))
 
 
 @query("gen_seq_varchar")
@@ -171,6 +173,62 @@ def _(t: Tables) -> DataFrame:
     return S.outcomes(t.events.select("event_id", "value"), "event_id", F.col("value"), 0.05, 0.01)
 
 
+def _measured(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Ten frequent values and 15 buckets of each event type's values, and the buckets' quantiles."""
+    values = t.events.where("value is not null").select("event_type", F.col("value").cast("double").alias("value"))
+    counts = D.value_counts(values, ["event_type"], "value")
+    top = D.top_values(counts, ["event_type"], H).select("event_type", F.col("rank").cast("int").alias("slot"), "v", F.lit(None).cast("int").alias("bucket"), "freq")
+    rest = D.histogram(counts, ["event_type"], 15, H).select("event_type", (F.col("bucket") + H + 1).alias("slot"), F.lit(None).cast("double").alias("v"), "bucket", "freq")
+    return D.cdf(top.union(rest), ["event_type"], "slot", "freq"), D.bucket_quantiles(D.without_top(counts, ["event_type"], H), ["event_type"], 15, 20)
+
+
+@query("gen_measured")
+def _(t: Tables) -> DataFrame:
+    """A value for each event from what was measured of its type."""
+    cdf, quantiles = _measured(t)
+    rows = t.events.select("event_id", "event_type")
+    return G.sampled_values(rows, lcg(F.col("event_id"), 71), lcg(F.col("event_id"), 72), cdf, quantiles, ["event_type"]).select("event_id", "event_type", "v")
+
+
+@query("fidelity_profile")
+def _(t: Tables) -> DataFrame:
+    """Profile, generate, profile again: per event type the rows and mean value of the trace and
+    of the generated one, and their relative deviations; rows are generated as many as the
+    measured rates of each window say."""
+    e = windowed_events(t)
+    rates = D.filled(D.throughput(e, "event_type", "w", F.lit(1)), "event_type", "w")
+    made = rates.where("txns > 0").select("event_type", "w", F.explode(F.sequence(F.lit(1).cast("long"), F.col("txns"))).alias("k"))
+    key = F.xxhash64("event_type", "w", "k")
+    cdf, quantiles = _measured(t)
+    got = G.sampled_values(made, lcg(key, 73), lcg(key, 74), cdf, quantiles, ["event_type"])
+    two = got.groupBy("event_type").agg(F.count("*").alias("n_made"), F.avg("v").alias("mean_made"))
+    one = e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    off = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.abs(F.col(b))
+    return one.join(two, "event_type").select("event_type", "n", "n_made", "mean", "mean_made", off("n_made", "n").alias("rate_deviation"), off("mean_made", "mean").alias("mean_deviation"))
+
+
+@query("gen_partition_draw", f"WITH s AS (SELECT l_suppkey % 4 part, count(*) / (SELECT count(*) FROM lineitem) freq FROM lineitem GROUP BY 1), o AS (SELECT o_orderkey, o_custkey % 4 own, ['any', 'same', 'different'][o_orderkey % 3 + 1] how, {lcg_sql('o_orderkey', 81)} u FROM orders), x AS (SELECT o.*, s.part, sum(freq) OVER (PARTITION BY o_orderkey ORDER BY s.part) hi, sum(freq) OVER (PARTITION BY o_orderkey) t FROM o JOIN s ON how <> 'different' OR s.part <> own) SELECT o_orderkey, how, any_value(own) own, CASE WHEN how = 'same' THEN any_value(own) ELSE min(part) FILTER (WHERE hi > u * t) END part FROM x GROUP BY o_orderkey, how")
+def _(t: Tables) -> DataFrame:
+    shares = D.partitioned(t.lineitem, F.col("l_suppkey") % 4, "l_suppkey").select("part", "freq")
+    k = F.col("o_orderkey")
+    rows = t.orders.select("o_orderkey", F.element_at(F.array(F.lit("any"), F.lit("same"), F.lit("different")), (k % 3).cast("int") + 1).alias("how"), (F.col("o_custkey") % 4).alias("own"))
+    return G.partition_draws(rows, F.col("how"), F.col("own"), lcg(k, 81), shares)
+
+
+@query("gen_varchar_measured")
+def _(t: Tables) -> DataFrame:
+    c = D.varchar_distribution(D.value_counts(t.part, ["p_brand"], "p_type"), ["p_brand"], H, 15)
+    cdf = D.cdf(c, ["p_brand"], "slot", "freq")
+    k = F.col("p_partkey")
+    return G.varchar_values(t.part.select("p_partkey", "p_brand"), lcg(k, 82), lcg(k, 83), cdf, ["p_brand"], 20, 5).select("p_partkey", "p_brand", "slot", "s")
+
+
+@query("gen_uniform", f"WITH b AS (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders) SELECT o_orderkey, round(CAST(lo AS DOUBLE) + {lcg_sql('o_orderkey', 84)} * (CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)), 4) v FROM orders, b")
+def _(t: Tables) -> DataFrame:
+    ends = t.orders.agg(F.min("o_totalprice").cast("double").alias("lo"), F.max("o_totalprice").cast("double").alias("hi"))
+    return t.orders.crossJoin(F.broadcast(ends)).select("o_orderkey", F.round(G.uniform(lcg(order_key(), 84), F.col("lo"), F.col("hi")), 4).alias("v"))
+
+
 @query("gen_fidelity", f"SELECT l_returnflag, count(*) n, count(DISTINCT CAST(floor({lcg_sql('l_orderkey * 8 + l_linenumber', 41)} * 50) AS BIGINT)) ndv FROM lineitem GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """Profile of generated values, grouped by the tables' own flag."""
