@@ -153,3 +153,94 @@ def test_candidates_of_every_window(spark):
         assert sorted((x.place, x.v, x.reused) for x in got if x.w == w) == sorted(tuple(x) for x in one) and len(one) == 6
     out = registry.QUERIES["gen_seq_int"](spark, "/root/testdata/sf0.001")
     assert out.select("w").distinct().count() > 1
+
+
+def test_real_numbers_are_compared_as_they_are(spark):
+    rows = []
+    for t, (x, y) in enumerate([(0.1, 0.3), (0.2, 0.1), (0.3, 0.45), (0.9, 0.6), (1.1, 0.8)]):
+        rows += [(t, 1, 1, 1, 0, x), (t, 2, 1, 1, 0, y), (t, 2, 1, 1, 1, 0.5 * x + 0.25)]
+    got = M.linear_relations(spark.createDataFrame(rows, P.replace("v long", "v double"))).collect()
+    assert [(r.idx_b, round(r.a, 9), round(r.b, 9)) for r in got] == [(1, 0.5, 0.25)]
+
+
+def test_results_count_beside_parameters(spark):
+    p = spark.createDataFrame([(t, 1, 1, 0, 0, t) for t in range(4)] + [(t, 2, 1, 0, 0, 10 * t + 3) for t in range(4)], P)
+    res = spark.createDataFrame([(t, 1, 0, 0, 10 * t + 3 if t else None) for t in range(4)] + [(t, 1, 1, 0, 5 * t) for t in range(4)], "tx_id long, op int, m int, type int, v long")
+    assert {(r.source, r.idx_a): r.n for r in M.equal_counts(p, res).collect()} == {("result", 0): 3}
+    # a null result rules its relation out
+    assert sorted((r.source, r.idx_a, r.a, r.b) for r in M.linear_relations(p, res).collect()) == [("parameter", 0, 10.0, 3.0), ("result", 1, 2.0, 3.0)]
+
+
+def test_partition_links_take_the_first_round_of_earlier_operations(spark):
+    p = spark.createDataFrame([(1, 1, 1, 0, 0, 4), (1, 1, 2, 0, 0, 5), (1, 2, 1, 0, 0, 8), (1, 2, 2, 0, 0, 9), (1, 2, 3, 0, 0, 10)], P)
+    got = M.partition_links(p, F.col("v") % 4, F.lit("c")).collect()
+    assert [(r.op_a, r.op_b, r.n_same, r.n_other) for r in got] == [(1, 2, 1, 2)]
+
+
+def test_partition_edges_replace_fainter_ones(spark):
+    edge = "op_a int, idx_a int, op_b int, idx_b int, prob double, kind string"
+    known = spark.createDataFrame([(1, 0, 3, 0, 0.6, "equal"), (1, 1, 3, 0, 0.3, "include")], edge)
+    more = spark.createDataFrame([(2, 0, 3, 0, 0.35, "part_ne"), (2, 1, 3, 0, 0.05, "part_ne")], edge)
+    got = {(r.op_a, r.idx_a, r.kind) for r in M.merged_edges(known, more).collect()}
+    assert got == {(1, 0, "equal"), (2, 0, "part_ne"), (2, 1, "part_ne")}
+
+
+def test_several_loops_of_a_transaction(spark):
+    rows = [(1, k, s) for k, s in enumerate(["a", "b", "a", "b", "c", "d", "c", "d", "c", "a", "b", "e"])]
+    got = [(r.sql, r.block, r.op_id, r.round) for r in S.folded_loops(spark.createDataFrame(rows, "tx long, k int, sql string"), "tx", ["k"], "sql").collect()]
+    assert got[:9] == [("a", 1, 1, 1), ("b", 1, 2, 1), ("a", 1, 1, 2), ("b", 1, 2, 2), ("c", 3, 3, 1), ("d", 3, 4, 1), ("c", 3, 3, 2), ("d", 3, 4, 2), ("c", 3, 3, 3)]
+    # what stands before the last loop's end takes part in no later one
+    assert got[9:] == [("a", 4, 5, 1), ("b", 4, 6, 1), ("e", 4, 7, 1)]
+
+
+def test_quoted_items_may_hold_commas(spark):
+    line = '[timestamp=5][connId=1][sql=s][para="a,b",3, "x ""y"" z",,-1]'
+    assert traces.parse_trace(spark.createDataFrame([(line,)], "value string")).first().params == ["a,b", "3", 'x "y" z', "", "-1"]
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    for name, lines in (("t.log", ["c", "d"]), ("t.log.1", ["b"]), ("t.log.2", ["a1", "a2", "a3"])):
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    got = traces.read_lines(spark, str(tmp_path)).orderBy(*traces.LINE_ORDER).collect()
+    assert [r.value for r in got] == ["a1", "a2", "a3", "b", "c", "d"]
+
+
+def test_percentiles_against_sorting(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(g, v) for g in "ab" for v in [r.choice([1.0, 2.0, r.random() * 1000, 5.0]) for _ in range(501)]] + [("a", None), ("c", 7.0)]
+    got = {x.g: (x.p50, x.p99) for x in D.percentile_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.5, 0.99]).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == (v[int(len(v) * 0.5)], v[int(len(v) * 0.99)])
+
+
+def test_settings_of_all_kinds():
+    s = texts.read_settings("top_values = 7 # most\nrollback=false\nleast_probability=0.5\nunknown=1\nwindow_delay=2 hours")
+    assert (s.top_values, s.rollback, s.least_probability, s.window_delay, s.buckets) == (7, False, 0.5, "2 hours", 15)
+
+
+def test_numbers_go_on_beyond_the_period(spark):
+    df = spark.createDataFrame([(5,), (5 + X.M,), (5 + 2 * X.M,)], "k long").select(X.lcg(F.col("k")).alias("u"))
+    assert len({r.u for r in df.collect()}) == 3
+
+
+def test_values_of_a_measured_distribution(spark):
+    cdf = spark.createDataFrame([("g", 0.0, 0.5, 3.0, None), ("g", 0.5, 1.0, None, 0)], "g string, lo double, hi double, v double, bucket int")
+    quantiles = spark.createDataFrame([("g", 0, 1, 10.0), ("g", 0, 2, 20.0)], "g string, bucket int, step int, v double")
+    df = spark.createDataFrame([("g", 0.2, 0.9), ("g", 0.7, 0.25), ("g", 0.7, 0.75)], "g string, u double, w double")
+    got = G.sampled_values(df, F.col("u"), F.col("w"), cdf, quantiles, ["g"]).collect()
+    assert sorted(r.v for r in got) == [3.0, 10.0, 15.0]
+
+
+def test_templates_anonymous_names_and_references(spark):
+    from tracewright.operators import profile, sqltext
+
+    tables = {"region": spark.createDataFrame([], "r_key long"), "nation": spark.createDataFrame([], "n_key long, n_region long")}
+    schema = profile.schema_scan(tables, {"region": ["r_key"], "nation": ["n_key"]}, {"nation": {"n_region": ("region", "r_key")}})
+    ddl = {r.table_name: r for r in sqltext.rendered_ddl(schema).collect()}
+    assert ddl["nation"].ddl_after_load.endswith("ALTER TABLE nation ADD FOREIGN KEY (n_region) REFERENCES region (r_key)") and ddl["region"].ddl_after_load is None
+    named = sqltext.with_new_names(sqltext.anonymous_names(schema)).collect()
+    new_tables = {r.table_name for r in named}
+    assert all(r.parent_table in new_tables for r in named if r.parent_table) and not new_tables & {"region", "nation"}

@@ -16,14 +16,18 @@ def _multiplier(stream: int) -> int:
 
 def lcg(key: Column, stream: int = 0) -> Column:
     """A repeatable number in [0, 1) from an id: two steps of a linear congruential
-    generator, so that neighbouring ids aren't visibly related. A null id gives null."""
-    one = (F.pmod(key.cast("long"), F.lit(M)) * _multiplier(stream) + F.lit(stream * C + C)) % M
+    generator, so that neighbouring ids aren't visibly related. Ids beyond the generator's period
+    begin elsewhere in it, by how often they have passed it. A null id gives null."""
+    k = key.cast("long")
+    start = F.pmod(k, F.lit(M)) + F.pmod(F.call_function("div", k - F.pmod(k, F.lit(M)), F.lit(M).cast("long")) * 48_271, F.lit(M))
+    one = ((start % M) * _multiplier(stream) + F.lit(stream * C + C)) % M
     return ((one * A + F.lit(C)) % M) / F.lit(float(M))
 
 
 def lcg_sql(key: str, stream: int = 0) -> str:
-    """The same in SQL."""
-    return f"((((({key}) % {M}) * {_multiplier(stream)} + {stream * C + C}) % {M} * {A} + {C}) % {M} / {float(M)})"
+    """The same in SQL, for ids from 0."""
+    start = f"((({key}) % {M} + ((({key}) // {M}) * 48271) % {M}) % {M})"
+    return f"((({start} * {_multiplier(stream)} + {stream * C + C}) % {M} * {A} + {C}) % {M} / {float(M)})"
 
 
 def hash_partition(key: Column, n: int) -> Column:

@@ -218,7 +218,7 @@ def percentile_ranks(df: DataFrame, by: list[str], v: str, ps: list[float], step
     ends = values.groupBy(*by).agg(F.min("v").alias("__lo"), F.max("v").alias("__hi"), F.sum("n").alias("__n"))
     width = F.col("__hi").cast("double") - F.col("__lo").cast("double")
     step = F.when(width > 0, F.least(F.lit(steps - 1), F.floor((F.col("v").cast("double") - F.col("__lo").cast("double")) / width * steps))).otherwise(0)
-    dealt = values.join(ends, by).withColumn("__s", step.cast("int"))
+    dealt = (values.join(ends, by) if by else values.crossJoin(F.broadcast(ends))).withColumn("__s", step.cast("int"))
     before = W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
     counts = dealt.groupBy(*by, "__s").agg(F.sum("n").alias("__c"), F.first("__n").alias("__n")).withColumn("__b", F.coalesce(F.sum("__c").over(before), F.lit(0)))
     ranks = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor(F.col("__n") * F.lit(p)).cast("long").alias("r")) for k, p in enumerate(ps)]))

@@ -20,6 +20,12 @@ def seed_string(key: Column, length: Column, stream: int = 0) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), length), digit), "")
 
 
+def string_between(key: Column, shortest: int, longest: int, stream: int = 0) -> Column:
+    """A string of letters and digits from an id, its length even between two bounds."""
+    length = F.lit(shortest) + F.floor(lcg(key, stream + 1) * (longest - shortest + 1)).cast("int")
+    return F.when(key.isNotNull(), seed_string(key, length, stream))
+
+
 def number_column(key: Column, ndv: int, low: float, step: float, null_ratio: float = 0.0, stream: int = 0) -> Column:
     """low + i step for an i below ndv, or null."""
     v = F.floor(lcg(key, stream) * ndv) * F.lit(step) + F.lit(low)
@@ -181,13 +187,15 @@ def next_candidates(prior: DataFrame, domain: DataFrame, keep: int, size: int) -
     return kept.unionByName(fresh.select("place", "v", F.lit(False).alias("reused")))
 
 
-def window_candidates(prior: DataFrame, domain: DataFrame, by: str, keep: DataFrame, size: int, order: Column | None = None) -> DataFrame:
+def window_candidates(prior: DataFrame, domain: DataFrame, by: str, keep: DataFrame | int, size: int, order: Column | None = None) -> DataFrame:
     """next_candidates for each window; prior: by, place and v, at most size rows of a window;
-    keep: by and keep, how many of them a window uses again.
+    keep: by and keep, how many of them a window uses again, or one number for all windows.
 
     At most size of the domain's first values are candidates of a window already, so the fresh
     ones of any window are among its first 2 size."""
     order = [F.xxhash64("v") if order is None else order, F.col("v")]
+    if isinstance(keep, int):
+        keep = prior.select(by).distinct().withColumn("keep", F.lit(keep))
     kept = prior.join(keep, by).where("place < keep").select(by, "place", "v", F.lit(True).alias("reused"))
     first = domain.select("v").distinct().orderBy(*order).limit(2 * size)
     fresh = keep.crossJoin(F.broadcast(first)).join(prior, [by, "v"], "left_anti")

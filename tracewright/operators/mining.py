@@ -220,6 +220,13 @@ def partition_cardinality(p: DataFrame, part: Column) -> DataFrame:
     return per.where("partitions > 0").groupBy("partitions").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("partitions", (F.col("n") / F.col("t")).alias("share"))
 
 
+def partitions_of(p: DataFrame, part: Column, unit: list[str]) -> DataFrame:
+    """How many units (transactions: tx_id; statements: tx_id, op and rn) touch so many partitions;
+    part is null for values without one, and units without any aren't counted."""
+    per = p.where(part.isNotNull()).groupBy(*unit).agg(F.count_distinct(part).alias("partitions"))
+    return per.groupBy("partitions").agg(F.count("*").alias("n"))
+
+
 def parameters_by_type(p: DataFrame) -> DataFrame:
     """The parameters of each type that need statistics, as one text in order."""
     one = p.select("type", "op", "idx").distinct()

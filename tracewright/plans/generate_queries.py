@@ -36,6 +36,11 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", G.string_column(order_key(), 40, 12, 0.0, 9).alias("s"))
 
 
+@query("gen_seed_string", f"SELECT o_orderkey, substr({' || '.join(_CHARS.format(u=lcg_sql(f'o_orderkey * 64 + {k}', 15)) for k in range(1, 10))}, 1, 4 + CAST(floor({lcg_sql('o_orderkey', 16)} * 6) AS INT)) s FROM orders")
+def _(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", G.string_between(order_key(), 4, 9, 15).alias("s"))
+
+
 @query("gen_pk", "SELECT (o_orderkey // 12) % 5000 + 1 a, (o_orderkey // 4) % 3 + 1 b, o_orderkey % 4 + 1 c FROM orders")
 def _(t: Tables) -> DataFrame:
     return t.orders.select(*[c.alias(n) for c, n in zip(G.key_columns(order_key(), [5000, 3, 4]), "abc", strict=True)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.plans import distribution_queries, generate_queries, mining_queries, profile_queries, source_queries  # noqa: F401
+from tracewright.plans import distribution_queries, generate_queries, mining_queries, profile_queries, source_queries, workflow  # noqa: F401
 from tracewright.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

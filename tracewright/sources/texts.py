@@ -57,22 +57,46 @@ def parse_procedures(lines: DataFrame) -> DataFrame:
 
 @dataclass
 class Settings:
-    """Settings with their defaults; read_settings takes key=value lines."""
+    """Settings with their defaults; read_settings takes key=value lines. What each steers is the
+    parameter of that meaning in the operators: plans.workflow hands them over."""
 
     window_seconds: int = 1
+    window_delay: str = "1 day"
     top_values: int = 10
     buckets: int = 15
     quantiles: int = 5
     lookback: int = 3
+    candidates: int = 20
+    sample_size: int = 1_000
+    partitions: int = 4
     least_probability: float = 0.01
+    strong_probability: float = 0.7
+    linear_slack: float = 1e-9
+    instance_cap: int = 10_000
+    log_ids: int = 100_000
     scale_factor: float = 1.0
+    scale_jitter: float = 0.02
+    fake_columns: int = 0
+    files_per_trigger: int = 100
+    rollback: bool = True
 
 
 def read_settings(text: str) -> Settings:
-    """Lines key=value; # begins a comment, unknown keys are left out."""
+    """Lines key=value; # begins a comment, unknown keys are left out, true and false are words."""
     kinds = {f.name: type(f.default) for f in fields(Settings)}
     pairs = (line.split("#")[0].partition("=") for line in text.splitlines())
-    return Settings(**{k.strip(): kinds[k.strip()](v.strip()) for k, eq, v in pairs if eq and k.strip() in kinds})
+    value = lambda k, v: v.lower() == "true" if kinds[k] is bool else kinds[k](v)
+    return Settings(**{k.strip(): value(k.strip(), v.strip()) for k, eq, v in pairs if eq and k.strip() in kinds})
+
+
+def write_snapshot(parts: dict[str, DataFrame], path: str) -> None:
+    """Named results (profile, logic, distributions, names) as Parquet, a folder each."""
+    for name, df in parts.items():
+        df.write.parquet(f"{path}/{name}")
+
+
+def read_snapshot(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
 def write_rows(df: DataFrame, path: str) -> None:

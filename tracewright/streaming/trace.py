@@ -71,3 +71,13 @@ def lookback(stream: DataFrame, window: str, value: str, key: str, k: int) -> Da
         yield pd.DataFrame({"key": key[0], "w": windows, "v": key[1], "again": (gap > 0) & (gap <= k)})
 
     return rows.groupBy("key", "v").applyInPandasWithState(step, "key string, w long, v long, again boolean", "w long", "append", GroupStateTimeout.NoTimeout)
+
+
+def printed(stream: DataFrame, checkpoint: str, mode: str = "update", every: str = "10 seconds"):
+    """A started query that prints each batch's metrics."""
+    return stream.writeStream.format("console").outputMode(mode).option("truncate", False).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def kept(stream: DataFrame, path: str, checkpoint: str, every: str = "10 seconds"):
+    """A started query that appends finished windows' metrics as Parquet."""
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
