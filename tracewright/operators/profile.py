@@ -114,15 +114,12 @@ def broken_references(child: DataFrame, column: str, parent: DataFrame, key: str
 
 def topological_levels(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(table_name, level): 0 for tables that refer to none, else one more than the
-    deepest table referred to. Tables on a cycle get none. edges: child, parent."""
-    level = names.join(edges, F.col("table_name") == F.col("child"), "left_anti").select("table_name", F.lit(0).alias("level"))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        done = out.select(F.col("table_name").alias("t"))
-        waiting = edges.join(done, F.col("parent") == F.col("t"), "left_anti").select(F.col("child").alias("t")).distinct()
-        ready = names.join(done, F.col("table_name") == F.col("t"), "left_anti").join(waiting, F.col("table_name") == F.col("t"), "left_anti")
-        rows = [r.table_name for r in ready.collect()]  # a schema's tables are few
-        if not rows:
-            return out
-        out = out.union(names.where(F.col("table_name").isin(rows)).select("table_name", F.lit(depth).alias("level")))
+    deepest table referred to. Tables on a cycle get none. edges: child, parent. Planning over
+    a schema, whose tables are few."""
+    parents: dict[str, set[str]] = {r.table_name: set() for r in names.collect()}
+    for r in edges.collect():
+        parents.setdefault(r.child, set()).add(r.parent)
+    level: dict[str, int] = {}
+    while ready := [t for t, up in parents.items() if t not in level and up <= level.keys()]:
+        level |= {t: max((level[x] + 1 for x in parents[t]), default=0) for t in ready}
+    return names.sparkSession.createDataFrame(list(level.items()), "table_name string, level int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,37 +59,57 @@ def folded_loops(df: DataFrame, tx: str | list[str], order: list[str], sql: str)
     called tx_id in the result, or a list of keys, which keep their names."""
     keys = [tx] if isinstance(tx, str) else tx
     names = ["tx_id"] if isinstance(tx, str) else keys
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        texts = rows[sql].tolist()
-        block, op, rounds = [0] * len(texts), [0] * len(texts), [1] * len(texts)
-        tail: dict[str, int] = {}  # statements behind the last loop: where they ran first
-        body: dict[str, int] = {}  # the last loop's statements: their op_ids
-        head, inside, loops, ops, turn = None, False, 0, 0, 0
-        for k, s in enumerate(texts):
-            if s == head or inside and s in body:
-                turn += s == head
-                block[k], op[k], rounds[k], inside = 2 * loops - 1, body[s], turn, True
-                continue
-            inside = s in tail
-            if inside:
-                start, loops, head, turn = tail[s], loops + 1, s, 2
-                body = {texts[i]: op[i] for i in range(start, k) if texts[i] in tail and tail[texts[i]] >= start}
-                for i in range(start, k):
-                    if texts[i] in body and block[i] == 2 * (loops - 1):
-                        block[i] = 2 * loops - 1
-                block[k], op[k], rounds[k], tail = 2 * loops - 1, body[s], turn, {}
-            else:
-                ops += 1
-                tail[s] = k
-                block[k], op[k] = 2 * loops, ops
-        out = {n: [rows[c].iloc[0]] * len(texts) for n, c in zip(names, keys, strict=True)}
-        return pd.DataFrame(out | {"sql": texts, "block": block, "op_id": op, "round": rounds})
-
-    kinds = ["long"] if isinstance(tx, str) else [df.schema[k].dataType.simpleString() for k in keys]
-    head = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
-    return df.groupBy(*keys).applyInPandas(fold, f"{head}, sql string, block int, op_id int, round int")
+    rows = df.select(*[F.col(k).cast("long").alias(n) if isinstance(tx, str) else F.col(k) for k, n in zip(keys, names, strict=True)], *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.col(sql).alias("sql"))
+    dealt = rows.repartition(*names).sortWithinPartitions(*names, *[f"__o{i}" for i in range(len(order))]).select(*names, "sql")
+    width = len(names)
+
+    def run(batches):
+        key, texts = None, []
+
+        def block(done: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*done, strict=True)) if done else [()] * (width + 4)
+            kinds = [*kinds_of_keys, pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [*names, "sql", "block", "op_id", "round"])
+
+        for b in batches:
+            kinds_of_keys, done = [b.column(k).type for k in range(width)], []
+            for row in zip(*(b.column(k).to_pylist() for k in range(width + 1)), strict=True):
+                if row[:-1] != key:
+                    done += [(*key, *x) for x in _folded(texts)] if key is not None else []
+                    key, texts = row[:-1], []
+                texts.append(row[-1])
+            yield block(done)
+        if key is not None:
+            yield block([(*key, *x) for x in _folded(texts)])
+
+    head = ", ".join(f"{n} {dealt.schema[n].dataType.simpleString()}" for n in names)
+    return dealt.mapInArrow(run, f"{head}, sql string, block int, op_id int, round int")
+
+
+def _folded(texts: list[str]) -> list[tuple[str, int, int, int]]:
+    """(sql, block, op_id, round) of one transaction's statements."""
+    block, op, rounds = [0] * len(texts), [0] * len(texts), [1] * len(texts)
+    tail: dict[str, int] = {}  # statements behind the last loop: where they ran first
+    body: dict[str, int] = {}  # the last loop's statements: their op_ids
+    head, inside, loops, ops, turn = None, False, 0, 0, 0
+    for k, s in enumerate(texts):
+        if s == head or inside and s in body:
+            turn += s == head
+            block[k], op[k], rounds[k], inside = 2 * loops - 1, body[s], turn, True
+            continue
+        inside = s in tail
+        if inside:
+            start, loops, head, turn = tail[s], loops + 1, s, 2
+            body = {texts[i]: op[i] for i in range(start, k) if tail.get(texts[i], -1) >= start}
+            for i in range(start, k):
+                if texts[i] in body and block[i] == 2 * (loops - 1):
+                    block[i] = 2 * loops - 1
+            block[k], op[k], rounds[k], tail = 2 * loops - 1, body[s], turn, {}
+        else:
+            ops += 1
+            tail[s] = k
+            block[k], op[k] = 2 * loops, ops
+    return list(zip(texts, block, op, rounds, strict=True))
 
 
 def readable(df: DataFrame, sql: str) -> DataFrame:
