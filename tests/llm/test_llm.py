@@ -614,3 +614,30 @@ def test_pipeline_and_names(spark):
     out = corpus_pipeline.run(spark, sf)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0.6 * n < out.count() < n and out.select("doc_id").distinct().count() == out.count()
+
+
+def test_warc_of_text_ids_and_foreign_members(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([("a-1", "u", "same"), ("a-2", "u", "same"), ("b", "u", None), (None, "u", "x")], "page_id string, url string, html string")
+    got = {r.page_id: r for r in warc.op9_warc(pages).collect()}
+    assert set(got) == {"a-1", "a-2", "b", None} and got["a-1"].refers_to == "a-2" and got["a-2"].record_type == "response"
+    data = gzip.compress(b"WA") + gzip.compress(b"WARC/1.1\r\nno length\r\n\r\n") + warc.record(7, "u", b"body", None) + gzip.compress(b"")
+    assert [warc.parsed(c)[1] for c in warc.read_range(io.BytesIO(data), len(data), 0, len(data))] == [b"body"]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    items = spark.createDataFrame([(1, "one"), (2, None)], "item_id long, text string").withColumn("doc_id", F.lit(3))
+    docs = odd(spark).union(odd(spark).limit(3))
+    for rows, name in ((docs, "odd"), (docs.limit(0), "none")):
+        sf = f"{tmp_path}/{name}"
+        for df, table in ((rows, "documents"), (labels, "labels"), (items, "benchmark")):
+            df.write.parquet(f"{sf}/{table}.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert (len(out) > 5) == (name == "odd")
+        again = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, again, sf).columns == ["doc_id", "text", "lang", "source", "n_chars"]

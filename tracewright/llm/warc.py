@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import re
 import uuid
 import zlib
 
@@ -106,6 +107,9 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int =
     return written(listed, "warc-list")
 
 
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length: *\d+ *(?:\r\n|$)")
+
+
 class _Source:
     """Random access to a file with one buffer."""
 
@@ -137,7 +141,11 @@ def _member(src: _Source, place: int) -> tuple[bytes, int] | None:
             first = False
             if not b"".join(parts).startswith(VERSION):
                 return None
-    return b"".join(parts), at - len(un.unused_data)
+    content = b"".join(parts)
+    # a whole member that isn't a record, however short, is passed over
+    if not content.startswith(VERSION) or not _LENGTH.search(content.partition(b"\r\n\r\n")[0]):
+        return None
+    return content, at - len(un.unused_data)
 
 
 def read_range(file, size: int, start: int, end: int):
@@ -176,8 +184,9 @@ def parsed(content: bytes) -> tuple[dict[str, str], bytes]:
     return named, block.partition(b"\r\n\r\n")[2]
 
 
-def read_archives(listed: DataFrame, range_bytes: int = 8 << 20, html: bool = False) -> DataFrame:
-    """The records of archives, each read by the task of the byte range that it starts in."""
+def read_archives(listed: DataFrame, range_bytes: int = 8 << 20, html: bool = False, ids: str = "long") -> DataFrame:
+    """The records of archives, each read by the task of the byte range that it starts in; ids is
+    the type of the pages' ids."""
     ranges = listed.select("root", "path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("start"))
     n = listed.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 1
     ranges = ranges.repartition(max(1, math.ceil(n / 2)), "path", "start")
@@ -194,11 +203,12 @@ def read_archives(listed: DataFrame, range_bytes: int = 8 << 20, html: bool = Fa
                         if kind == "response" and (len(payload) != int(h["x-payload-length"]) or _digest(payload) != h["warc-payload-digest"].removeprefix("sha1:")):
                             raise ValueError(f"damaged record of page {h['x-page-id']} in {path}")
                         page, other = h["x-page-id"], h.get("x-refers-to-page-id")
-                        out.append((int(page) if page else None, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, int(other) if other else None, h["warc-target-uri"], payload.decode("utf-8", "surrogatepass") if html and kind == "response" else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+                        out.append((page or None, int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), kind, other or None, h["warc-target-uri"], payload.decode("utf-8", "surrogatepass") if html and kind == "response" else None))
+                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"])
 
-    return ranges.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    found = ranges.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, html string")
+    return found.withColumns({c: F.col(c).cast(ids) for c in ("page_id", "refers_to")})
 
 
 def op9_warc(pages: DataFrame) -> DataFrame:
@@ -207,8 +217,9 @@ def op9_warc(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload. Rows that repeat an id with equal payloads are all
     responses if the id is the largest, else all revisits. Rows without id stay responses.
-    An empty table gives no records."""
-    return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    Ids may be of any type that text keeps. An empty table gives no records."""
+    ids = pages.schema["page_id"].dataType.simpleString()
+    return read_archives(write_archives(pages), ids=ids).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 _CHUNKS = ", ".join(
