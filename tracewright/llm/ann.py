@@ -153,15 +153,16 @@ class Block:
         self.r2 = float(np.einsum("ij,ij->i", self.x, self.x).max()) if r2 is None else r2
         points = lifted(self.x, self.r2)
         self.tree = KdTree(points)
-        self.points, self.xo = points[self.tree.order], self.x[self.tree.order]
+        self.points, self.xo = points[self.tree.order].astype(np.float32), self.x[self.tree.order].astype(np.float32)
         self.verified = 0  # vectors whose inner product was taken
 
     def nearest(self, query_id: int, q: np.ndarray, confidence: float = CONFIDENCE, bound: float = -math.inf) -> list[tuple[float, int]]:
         """(score, vec_id) of the nearest rows; bound: a score that the k-th nearest reaches at
         least, as other blocks say."""
-        unit = q / math.sqrt(q @ q)
         length = math.sqrt(self.r2)
-        near = length * unit @ projection(len(q) + 1)[:-1]
+        unit = q / math.sqrt(q @ q)
+        near = (length * unit @ projection(len(q) + 1)[:-1]).astype(np.float32)
+        unit = unit.astype(np.float32)
         reach, k, tree = chi_square_quantile(confidence, DIMS), self.keep + 1, self.tree
         kth = bound / math.sqrt(q @ q)
 
@@ -171,8 +172,10 @@ class Block:
         boxes = box_distances(near[None], tree.low, tree.high)[0]
         leaves = np.argsort(boxes, kind="stable")
         boxes = boxes[leaves]
-        scores, rows, open_rows, open_d, at, step = [], [], np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while True:
+        scores, rows, open_rows, open_d, at, step = [], [], np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 4
+        best = np.full(k, -math.inf, np.float32)
+        last = False
+        while not last:
             if at < len(leaves) and boxes[at] < stop():
                 took = leaves[at : at + step]
                 part = np.concatenate([np.arange(tree.bounds[j], tree.bounds[j + 1]) for j in took])
@@ -181,32 +184,27 @@ class Block:
                 at += step
                 step = at
             last = at >= len(leaves) or boxes[at] >= stop()
-            frontier = math.inf if last else boxes[at]
             # projected neighbours up to the next leaf's box are complete: verify them, nearest first
-            take = max(2 * k, len(open_d) // 16)
-            due = open_d < min(frontier, stop())
-            while due.any():
-                mine = np.flatnonzero(due)
-                if len(mine) > take:
-                    mine = mine[np.argpartition(open_d[mine], take)[:take]]
-                scores.append(self.xo[open_rows[mine]] @ unit)
-                rows.append(open_rows[mine])
-                self.verified += len(mine)
-                left = np.ones(len(open_d), bool)
-                left[mine] = False
-                open_rows, open_d = open_rows[left], open_d[left]
-                s = np.concatenate(scores)
-                if len(s) >= k:
-                    kth = max(kth, float(np.partition(s, len(s) - k)[len(s) - k]))
-                due = open_d < min(frontier, stop())
-            if last:
-                break
+            due = open_d < min(math.inf if last else boxes[at], stop())
+            mine = np.flatnonzero(due)
+            mine = mine[np.argsort(open_d[mine])]
+            lo, take = 0, 2 * k
+            while lo < len(mine) and open_d[mine[lo]] < stop():
+                chunk = open_rows[mine[lo : lo + take]]
+                scores.append(self.xo[chunk] @ unit)
+                rows.append(chunk)
+                self.verified += len(chunk)
+                best = np.partition(np.concatenate([best, scores[-1]]), len(chunk))[-k:]
+                kth = max(kth, float(best.min()) - 1e-6 * length)
+                lo, take = lo + take, 2 * take
+            open_rows, open_d = open_rows[~due], open_d[~due]
         if not rows:
             return []
         s, part = np.concatenate(scores), np.concatenate(rows)
         if len(s) > 2 * k:
+            # these products are rounded; what is near the cut is worked out again below
             cut = np.partition(s, len(s) - k)[len(s) - k]
-            part = part[s >= cut - 1e-9 * max(1.0, abs(cut))]
+            part = part[s >= cut - 1e-5 * length]
         found = []
         for row in tree.order[part]:
             score = math.fsum((self.x[row] * q).tolist())
