@@ -244,3 +244,54 @@ def test_templates_anonymous_names_and_references(spark):
     named = sqltext.with_new_names(sqltext.anonymous_names(schema)).collect()
     new_tables = {r.table_name for r in named}
     assert all(r.parent_table in new_tables for r in named if r.parent_table) and not new_tables & {"region", "nation"}
+
+
+def exchanges(df):
+    """The keys of each shuffle in the plan before it runs, and of each join's."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [line.strip() for line in text.split("\n") if "Exchange" in line]
+
+
+def trace_of(spark, path, orders, lines_each):
+    o = spark.range(orders).select(F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), (F.col("id") * 1.5).alias("o_totalprice"))
+    numbers = {c: F.col("k").cast("double") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    li = o.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1), F.lit(lines_each))).alias("k"))
+    li = li.withColumns({"l_partkey": F.col("l_orderkey") + F.col("k"), "l_suppkey": F.col("l_orderkey") % 5, "l_linenumber": F.col("k").cast("int"), **numbers})
+    o.write.parquet(f"{path}/orders.parquet")
+    li.drop("k").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_a_tasks_share_of_the_trace_stays_the_same(spark, tmp_path, monkeypatch):
+    from tracewright.plans import base, registry
+
+    where = trace_of(spark, tmp_path, 100, 3)
+    monkeypatch.setattr(base, "ROWS_A_TASK", 40)
+    t = base.Tables(spark, where)
+    assert base.order_params(t).rdd.getNumPartitions() == 10
+    # what is grouped by transaction is together already: one shuffle of each table, and the last one
+    for name, shuffles in (("op_exec_pairs", 3), ("partitions_per_sql", 2)):
+        assert len(exchanges(registry.QUERIES[name](spark, where))) == shuffles, name
+
+
+def test_rows_are_masked_where_they_are(spark):
+    p = spark.createDataFrame([(1, 1, 1, 0, 0, 5), (1, 2, 1, 0, 0, 5)], P)
+    sets = spark.createDataFrame([(1, 0, 1, 0), (2, 0, 1, 0)], "op int, idx int, set_op int, set_idx int")
+    loops = spark.createDataFrame([], "op int, idx int, increment long")
+    assert not [x for x in exchanges(M.masked(p, sets, loops)) if "hashpartitioning" in x]
+
+
+def test_pairs_of_parameters_are_not_shuffled_or_sorted(spark):
+    p = spark.createDataFrame([(t, o, 1, 0, 0, o * t + 3) for t in range(20) for o in (1, 2)], P)
+    df = M.linear_relations(p)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    assert [(r.a, r.b) for r in df.collect()] == [(2.0, -3.0)]
+
+
+def test_repeated_rows_count_as_their_pairs(spark):
+    rows = [(1, 1, 1, 0, 0, 5)] * 3 + [(1, 2, 1, 0, 1, 5)] * 4 + [(1, 2, 1, 0, 0, None), (1, 1, 1, 0, 1, None)]
+    p = spark.createDataFrame(rows, P)
+    df = M.equal_counts(p)
+    assert [tuple(r) for r in df.collect()] == [(1, 0, 2, 1, 12)]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
