@@ -333,6 +333,15 @@ def test_short_passages_of_fifty_words_go_whole(spark):
     assert [got[k] for k in range(1, len(texts) + 1)] == want
 
 
+def test_equal_digests_of_other_bytes_remove_nothing(spark):
+    passage = ["one of the lines", "that occur again", "in other documents", "and go there"]
+    texts = ["\n".join([f"only {k} a", f"only {k} b", *(passage if k % 2 else []), f"only {k} c"]) for k in range(8)]
+    want = {r.doc_id: r.text for r in linechunks.remove_passages(documents(spark, texts)).collect()}
+    assert want[2] == texts[1] and want[4] == "only 3 a\nonly 3 b\nonly 3 c"
+    for same in (lambda part, body: b"0" * 16, lambda part, body: bytes([len(body) % 3]) * 16):
+        assert {r.doc_id: r.text for r in linechunks.remove_passages(documents(spark, texts), digest=same).collect()} == want
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {k}".encode() for k in range(300)]
     ends = {lines[hi - 1] for _, hi in linechunks.chunks(lines)}

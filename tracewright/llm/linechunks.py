@@ -10,10 +10,10 @@ the pipeline cut more finely (ends): a window rolls over the line hashes, and a
 end if it holds the least of a window of two, or if it or a neighbour is long. A chunk runs
 from end to end, both included, so any four lines have one within, three and two lines of
 50 words together too, and a passage is cut alike wherever it stands, up to a line at either
-side. Equal chunks are told by 128 bits of BLAKE2 over their bytes, for which no two texts with
-equal values are known: sending the bytes of all repeated chunks, as remove_repeated does,
-took 8.6 times the input on disk. Repeated chunks grow by the outer lines, one before and one
-behind, that are repeated with them.
+side. 128 bits of BLAKE2 say which chunks may be equal, and the bytes of those that share them
+decide: each is compared with the first of its digest, and those that differ from it with each
+other. Repeated chunks grow by the outer lines, one before and one behind, that are repeated
+with them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from tracewright.llm.common import DOC_COLUMNS, document_columns, in_slices, wri
 WINDOW, MEAN, MOST, LEAST = 2, 3, 64, 2
 #: Words of a line that is a passage by itself, and of one of three lines with as many.
 LONG, WIDE = 50, 17
+#: Documents are told by so many hash values before the texts of those that matter are shuffled.
+SLOTS = 1 << 24
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _OUT = pow(_BASE, WINDOW, 1 << 64)
 
@@ -183,22 +185,33 @@ def fine_chunks(lines: list[bytes]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def part_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, th, at and digest (ha, hb) of the parts of each chunk: the chunk (at = 3 place), it
-    with the line before (one more) and with the line behind (two more); place is twice the first
-    line, and one more for a chunk of several."""
+def part_digest(part: bytes, body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16, person=part).digest()
+
+
+def _parts(lines: list[bytes]):
+    """(at, kind, first line, line after the last) of the parts of each chunk: the chunk (at = 3
+    place), it with the line before (one more) and with the line behind (two more); place is twice
+    the first line, and one more for a chunk of several."""
+    for lo, hi, low, high in fine_chunks(lines):
+        k = 3 * (2 * lo + (hi - lo > 1))
+        yield k, b"", lo, hi
+        if low < lo:
+            yield k + 1, b"before", low, hi
+        if high > hi:
+            yield k + 2, b"behind", lo, high
+
+
+def part_hashes(docs: DataFrame, digest=part_digest) -> DataFrame:
+    """doc_id, th, at and digest (ha, hb) of the parts of each chunk."""
 
     def run(batches):
-        digest = lambda part, x: hashlib.blake2b(x, digest_size=16, person=part).digest()
         for b in in_slices(batches):
             d, t, at, h = [], [], [], []
             for doc_id, th, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 lines = _split(text)
-                for lo, hi, low, high in fine_chunks(lines):
-                    k = 3 * (2 * lo + (hi - lo > 1))
-                    parts = [(k, b"", lo, hi), *([(k + 1, b"before", low, hi)] if low < lo else []), *([(k + 2, b"behind", lo, high)] if high > hi else [])]
-                    for place, part, x, y in parts:
-                        d.append(doc_id), t.append(th), at.append(place), h.append(digest(part, b"\n".join(lines[x:y])))
+                for place, part, x, y in _parts(lines):
+                    d.append(doc_id), t.append(th), at.append(place), h.append(digest(part, b"\n".join(lines[x:y])))
             digests = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
             cols = [pa.array(d, b.column(0).type), pa.array(t, pa.int64()), pa.array(at, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "at", "ha", "hb"])
@@ -206,17 +219,77 @@ def part_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text is not null").mapInArrow(run, f"doc_id {_kind(docs)}, th long, at int, ha long, hb long")
 
 
-def repeated_parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, at) of the parts of chunks that occur before, at a smaller doc_id or further
-    up. No text is shuffled."""
-    found = part_hashes(docs)
-    place = F.struct("doc_id", "th", "at")
-    first = found.groupBy("ha", "hb").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(first, ["ha", "hb"]).where(~place.eqNullSafe(F.col("first")))
-    return later.select("doc_id", "th", "at").distinct()
+def _slot(doc_id: str, th: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, th), F.lit(SLOTS)).alias("__slot")
+
+
+def _slots(per: DataFrame) -> DataFrame:
+    """The hash values of documents with places: SLOTS at most, so they go to all tasks, and only
+    texts that have one of them are shuffled; those that share one by chance find no places."""
+    return F.broadcast(per.select(_slot("__d", "__t")).distinct())
 
 
-def remove_passages(docs: DataFrame, broadcast_places: int = 0) -> DataFrame:
+def part_bodies(docs: DataFrame, places: DataFrame, whole: bool, digest=part_digest) -> DataFrame:
+    """places (doc_id, th, at, ha, hb, head) with the kind and the bytes of each part in body. Unless
+    whole, outer lines stand with the digest of their chunk, whose bytes have a row of their own."""
+    per = places.groupBy(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).agg(F.collect_set(F.struct("at", "ha", "hb", "head")).alias("__p"))
+    texts = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")).withColumn("__slot", _slot("doc_id", "th"))
+    # one plan at every size, so that what small tables take says what large ones will
+    texts = texts.join(_slots(per), "__slot", "left_semi").join(per.hint("merge"), _same())
+
+    def run(batches):
+        for b in in_slices(batches):
+            d, t, at, ha, hb, head, body = ([] for _ in range(7))
+            for doc_id, th, text, wanted in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                lines, of = _split(text), {w["at"]: w for w in wanted}
+                own = None
+                for place, part, x, y in _parts(lines):
+                    own = (x, y) if not part else own
+                    if w := of.get(place):
+                        d.append(doc_id), t.append(th), at.append(place), ha.append(w["ha"]), hb.append(w["hb"]), head.append(w["head"])
+                        sent = b"\n".join(lines[x:y])
+                        if part and not whole:
+                            sent = digest(b"", b"\n".join(lines[slice(*own)])) + b"\n".join(lines[x : own[0]] + lines[own[1] : y])
+                        body.append(part + b"\n" + sent)
+            kinds = [b.column(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            cols = [pa.array(c, k) for c, k in zip((d, t, at, ha, hb, head, body), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "at", "ha", "hb", "head", "body"])
+
+    kind = f"doc_id {_kind(docs)}, th long, at int, ha long, hb long, head boolean, body binary"
+    return texts.select("doc_id", "th", "text", "__p").mapInArrow(run, kind)
+
+
+def repeated_parts(docs: DataFrame, digest=part_digest) -> DataFrame:
+    """(doc_id, th, at) of the parts of chunks whose bytes occur before, at a smaller doc_id or
+    further up. Digests choose what is compared; no two parts count as equal by them alone.
+
+    Each is compared with the first of its digest. If one differs, two chunks share a digest, and
+    all are compared again with their whole bytes, those that differ by groups of equal bytes."""
+    found = part_hashes(docs, digest)
+    place, key = F.struct("doc_id", "th", "at"), ["ha", "hb"]
+    many = found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    shared = written(found.join(many, key, "left_semi"), "part-shared")
+    first = shared.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+    places = written(shared.join(first, key).select("doc_id", "th", "at", *key, place.eqNullSafe(F.col("first")).alias("head")), "part-places")
+
+    def compared(whole: bool) -> DataFrame:
+        bodies = written(part_bodies(docs, places, whole, digest), "part-bodies")
+        heads = bodies.where("head").dropDuplicates(key).select(*key, F.col("body").alias("__b"))
+        same = F.col("body") == F.col("__b")
+        both = bodies.where("not head").join(heads.hint("merge"), key)
+        return written(both.select("doc_id", "th", "at", *key, same.alias("same"), F.when(~same, F.col("body")).alias("body")), "part-compared")
+
+    done = compared(False)
+    if done.where("not same").isEmpty():
+        return done.select("doc_id", "th", "at").distinct()
+    done = compared(True)
+    others, by = done.where("not same"), [*key, "body"]
+    heads = others.groupBy(*by).agg(F.min(place).alias("first"))
+    later = others.join(heads, by).where(~place.eqNullSafe(F.col("first")))
+    return done.where("same").select("doc_id", "th", "at").union(later.select("doc_id", "th", "at")).distinct()
+
+
+def remove_passages(docs: DataFrame, broadcast_places: int = 0, digest=part_digest) -> DataFrame:
     """As remove_repeated, but for runs of lines of finer chunks that occur before, with the outer
     lines that are repeated with them.
 
@@ -225,11 +298,14 @@ def remove_passages(docs: DataFrame, broadcast_places: int = 0) -> DataFrame:
     empty texts stay as they are; a text whose lines all occur before becomes empty and its row
     stays. Rows that repeat id and text count as one and change alike.
 
-    What goes meets the texts in one shuffle at every size; up to broadcast_places parts may be
-    broadcast instead."""
+    What goes meets the texts of its documents in one shuffle at every size; up to
+    broadcast_places parts may be broadcast instead. Other documents stay where they are."""
     src = document_columns(docs)
-    gone = written(repeated_parts(src), "part-repeats")
-    both = src.withColumn("th", F.xxhash64("text")).join(_places(gone, broadcast_places), _same(), "left").select(*DOC_COLUMNS, "__at")
+    gone = written(repeated_parts(src, digest), "part-repeats")
+    per = _places(gone, broadcast_places)
+    texts = src.withColumn("th", F.xxhash64("text")).withColumn("__slot", _slot("doc_id", "th"))
+    both = texts.join(_slots(per), "__slot", "left_semi").join(per if broadcast_places else per.hint("merge"), _same(), "left").select(*DOC_COLUMNS, "__at")
+    rest = texts.join(_slots(per), "__slot", "left_anti").select(*DOC_COLUMNS, F.lit(0).alias("n_removed"))
 
     def cut(batches):
         for b in in_slices(batches):
@@ -249,7 +325,7 @@ def remove_passages(docs: DataFrame, broadcast_places: int = 0) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, [*DOC_COLUMNS, "n_removed"])
 
     types = src.schema.simpleString()[7:-1]
-    out = both.mapInArrow(cut, f"{types}, n_removed int")
+    out = both.mapInArrow(cut, f"{types}, n_removed int").union(rest)
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(src.schema["n_chars"].dataType)
     return out.select("doc_id", "text", "lang", "source", changed.alias("n_chars"), "n_removed")
 
