@@ -197,7 +197,8 @@ def op1_cotrain(docs: DataFrame, labels: DataFrame, rounds: int = 3, sure: float
     an empty table gives no rows."""
     rated = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("__y"))
     calibrates = F.crc32(F.col("doc_id").cast("string")) % 5 == CALIBRATES
-    rows = features(docs).join(rated.where(~held_out()), "doc_id", "left")
+    # one plan at every size: the bins meet the labels in a shuffle, also where few labels could be sent to all
+    rows = features(docs).join(rated.where(~held_out()).hint("merge"), "doc_id", "left")
     rows = written(rows.withColumns({"__kept": F.when(calibrates, F.col("__y")), "__y": F.when(~calibrates, F.col("__y"))}), "quality-features")
     text, meta = _text_model(rows, "__y"), _meta_odds(rows, "__y")
     limit = math.log(sure / (1 - sure))
