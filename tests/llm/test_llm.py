@@ -11,11 +11,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tracewright.llm import ann, bytebpe, components, cotrain, decontam, licences, linechunks, lmscore, ngramjoin, shingles, toxicity, warc
+from tracewright.llm import ann, bytebpe, common, components, cotrain, decontam, licences, linechunks, lmscore, ngramjoin, shingles, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -65,6 +66,32 @@ def test_bpe_rows(spark, encoding):
     assert bytebpe.op4_byte_bpe(documents(spark, []), PATH, PATTERN).count() == 0
 
 
+def test_idle_workers_keep_no_caches(spark):
+    texts = [" ".join(words(20, k, 9000)) + f" only{k}" for k in range(1300)]
+    got = bytebpe.op4_byte_bpe(documents(spark, texts).repartition(1), PATH, PATTERN, ids=True).collect()
+    assert sorted((g.doc_id, g.ids) for g in got) == [(k, bytebpe.encode(t, PATH, PATTERN)) for k, t in enumerate(texts, 1)]
+
+    def held(batches):
+        for b in batches:
+            kept = [len(v._new) + len(v._old) + len(v._pair) for v in bytebpe._LOADED.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(kept)]), pa.array([sum(kept)])], ["loaded", "kept"])
+
+    # workers are used again, so some of these tasks run where the texts were encoded
+    found = spark.range(0, 64, 1, 16).mapInArrow(held, "loaded long, kept long").collect()
+    assert sum(r.loaded for r in found) > 0 and sum(r.kept for r in found) == 0
+
+
+def test_a_task_gives_back_what_it_freed(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("back"))
+    run = common.tidy(lambda batches: (b + 1 for b in batches), lambda: calls.append("forget"))
+    assert list(run(iter([1, 2]))) == [2, 3] and calls == ["forget", "back"]
+    part = run(iter([1, 2]))
+    assert next(part) == 2
+    part.close()  # as a limit does
+    assert calls == ["forget", "back"] * 2
+
+
 def test_bpe_appends_and_edits():
     v, r = bytebpe.loaded(PATH), random.Random(2)
     for _ in range(60):

@@ -15,13 +15,15 @@ import base64
 import hashlib
 import re
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
+from tracewright.llm.common import in_slices, tidy
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Tokens and ranks of a tiktoken file."""
@@ -87,7 +89,6 @@ class Vocabulary:
         self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
         self.names = {r: str(r) for r in self.bytes_of}
         self.longest = max(map(len, ranks), default=1)
-        self._starts = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self._step: dict[bytes, bytes] = {}
         self._ends: dict[bytes, tuple[tuple[int, int], ...]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
@@ -103,6 +104,15 @@ class Vocabulary:
                 self._matcher.add_word(t.decode("latin-1"), (len(t), r))
         self._matcher.make_automaton()
 
+    @cached_property
+    def _starts(self) -> set[bytes]:
+        """What a token starts with; only prefix tables of single pieces need it."""
+        return {t[:k] for t in self.ranks for k in range(1, len(t) + 1)}
+
+    def forget(self) -> None:
+        """Empty the caches of words and pairs, which take several times as much as the rest."""
+        self._new, self._old, self._pair = {}, {}, {}
+
     def merged(self, data: bytes, stop: int = 1) -> list[int]:
         """BPE from its definition: merge the neighbours of least rank, the leftmost first,
         down to so many tokens. Only the bytes of single tokens come here."""
@@ -311,7 +321,7 @@ def op4_byte_bpe(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
 
     def run(batches):
         v = loaded(path)
-        for b in batches:
+        for b in in_slices(batches):
             n, a, d, every = [], [], [], []
             for t in b.column(1).to_pylist():
                 text_ids, decoded = v.encoded(t, pattern)
@@ -323,4 +333,4 @@ def op4_byte_bpe(docs: DataFrame, path: str, pattern: str, ids: bool = False) ->
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(every, pa.list_(pa.int32()))] if ids else []), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if ids else []))
 
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
+    return src.mapInArrow(tidy(run, lambda: loaded(path).forget()), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))

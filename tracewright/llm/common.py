@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,30 @@ def in_slices(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; Arrow and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def tidy(run, *forget):
+    """run, for mapInArrow, with calls to forget at the end of each task. Python workers outlive
+    their tasks, and what idle ones hold counts in their executor's memory while other stages
+    run, so they keep no more than they need to begin the next task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            give_back()
+
+    return tidied
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], *by: str, salts: int = 8) -> DataFrame:
     """left joined to the one row of right with its key, if there is one. Rows of a frequent key
     are dealt to so many copies of that row, by a hash of the columns by."""

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import DOC_COLUMNS, document_columns, in_slices, written
+from tracewright.llm.common import DOC_COLUMNS, document_columns, in_slices, tidy, written
 
 #: Lines in the rolling hash, mean and most lines of a chunk, fewest lines of a removed one.
 WINDOW, MEAN, MOST, LEAST = 2, 3, 64, 2
@@ -80,7 +80,7 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
                             d.append(doc_id), t.append(th), at.append(lo), h.append(xxhash.xxh3_128_digest(b"\n".join(lines[lo:hi])))
             yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(t, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.binary())], ["doc_id", "th", "at", "h"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, f"doc_id {_kind(docs)}, th long, at int, h binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, th long, at int, h binary")
 
 
 def _same() -> Column:
@@ -115,7 +115,7 @@ def repeated(docs: DataFrame, broadcast_places: int = 1_000_000) -> DataFrame:
     # one row of rows that repeat id and text
     texts = docs.select("doc_id", "text").withColumn("th", F.xxhash64("text")).join(_places(places, broadcast_places), _same())
     flagged = texts.select("doc_id", "th", "text", "__at").dropDuplicates(["doc_id", "th"])
-    chunk = written(flagged.mapInArrow(bodies, f"doc_id {kind}, th long, at int, body binary"), "chunk-bodies")
+    chunk = written(flagged.mapInArrow(tidy(bodies), f"doc_id {kind}, th long, at int, body binary"), "chunk-bodies")
     first = chunk.groupBy("body").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "at")).alias("first")).where("n > 1")
     # equal bytes have equal digests; the digest keeps the join's keys short, the bytes decide
     key = F.xxhash64("body").alias("__k")
@@ -153,7 +153,7 @@ def remove_repeated(docs: DataFrame, broadcast_places: int = 1_000_000) -> DataF
             yield pa.RecordBatch.from_arrays(cols, [*DOC_COLUMNS, "n_removed"])
 
     types = src.schema.simpleString()[7:-1]
-    out = both.mapInArrow(cut, f"{types}, n_removed int")
+    out = both.mapInArrow(tidy(cut), f"{types}, n_removed int")
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(src.schema["n_chars"].dataType)
     return out.select("doc_id", "text", "lang", "source", changed.alias("n_chars"), "n_removed")
 
@@ -216,7 +216,7 @@ def part_hashes(docs: DataFrame, digest=part_digest) -> DataFrame:
             cols = [pa.array(d, b.column(0).type), pa.array(t, pa.int64()), pa.array(at, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "at", "ha", "hb"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text is not null").mapInArrow(run, f"doc_id {_kind(docs)}, th long, at int, ha long, hb long")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").where("text is not null").mapInArrow(tidy(run), f"doc_id {_kind(docs)}, th long, at int, ha long, hb long")
 
 
 def _slot(doc_id: str, th: str) -> Column:
@@ -256,7 +256,7 @@ def part_bodies(docs: DataFrame, places: DataFrame, whole: bool, digest=part_dig
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "at", "ha", "hb", "head", "body"])
 
     kind = f"doc_id {_kind(docs)}, th long, at int, ha long, hb long, head boolean, body binary"
-    return texts.select("doc_id", "th", "text", "__p").mapInArrow(run, kind)
+    return texts.select("doc_id", "th", "text", "__p").mapInArrow(tidy(run), kind)
 
 
 def repeated_parts(docs: DataFrame, digest=part_digest) -> DataFrame:
@@ -325,7 +325,7 @@ def remove_passages(docs: DataFrame, broadcast_places: int = 0, digest=part_dige
             yield pa.RecordBatch.from_arrays(cols, [*DOC_COLUMNS, "n_removed"])
 
     types = src.schema.simpleString()[7:-1]
-    out = both.mapInArrow(cut, f"{types}, n_removed int").union(rest)
+    out = both.mapInArrow(tidy(cut), f"{types}, n_removed int").union(rest)
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(src.schema["n_chars"].dataType)
     return out.select("doc_id", "text", "lang", "source", changed.alias("n_chars"), "n_removed")
 

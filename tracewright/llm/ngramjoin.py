@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import shingles
-from tracewright.llm.common import DOC_COLUMNS, document_columns, in_slices, salted_join, written
+from tracewright.llm.common import DOC_COLUMNS, document_columns, give_back, in_slices, salted_join, tidy, written
 from tracewright.llm.components import components
 
 THRESHOLD = 75  # per cent
@@ -63,7 +63,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
             cols = [b.column(0), b.column(1), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "fp"])
 
-    return src.mapInArrow(run, f"doc_id {kind}, th long, n_shingles long, fp binary")
+    return src.mapInArrow(tidy(run), f"doc_id {kind}, th long, n_shingles long, fp binary")
 
 
 class Fragments:
@@ -172,7 +172,7 @@ def _segments(docs: DataFrame, fragments: int) -> DataFrame:
         if sets:
             yield out()
 
-    return docs.select("text").mapInArrow(run, _ROW)
+    return docs.select("text").mapInArrow(tidy(run), _ROW)
 
 
 def _counted(rows: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +274,14 @@ def shared_sets(docs: DataFrame) -> DataFrame:
     fragments = max(8, math.ceil(n_bytes / FRAGMENT_BYTES))
     counted = _segments(docs, fragments).groupBy("frag").applyInPandas(_counted, _ROW)
     cut = Fragments(fragments)
-    sets = counted.groupBy("batch").applyInPandas(lambda rows: _ordered(cut, rows), "fp binary, n int, own int, p int, tokens array<long>, sketch array<long>")
+
+    def ordered(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return _ordered(cut, rows)
+        finally:
+            give_back()
+
+    sets = counted.groupBy("batch").applyInPandas(ordered, "fp binary, n int, own int, p int, tokens array<long>, sketch array<long>")
     return written(sets.withColumn("id", F.monotonically_increasing_id()), "shared-sets")
 
 
@@ -295,7 +302,7 @@ def _cut(held: DataFrame) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(g, pa.int32()), pa.array(seg, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, ["id", "parts", "g", "seg"])
 
-    return held.select("id", "parts", "tokens").mapInArrow(run, "id long, parts int, g int, seg array<long>")
+    return held.select("id", "parts", "tokens").mapInArrow(tidy(run), "id long, parts int, g int, seg array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

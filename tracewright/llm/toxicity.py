@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import document_columns, held_out, written
+from tracewright.llm.common import document_columns, held_out, in_slices, tidy, written
 
 # Letters of other scripts and the Latin letters they look like.
 HOMOGLYPHS = {
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, chance: f
     if not n_toxic:
         return Lexicon(exceptions=tuple(fold(x).strip() for x in exceptions))
     least = max(2, math.ceil(math.log(1 / chance) / math.log(1 / min(0.5, n_toxic / (n_toxic + n_clean)))))
-    found = rows.where("toxic > 0").select("text").mapInArrow(toxic_prefixes, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, 3))
+    found = rows.where("toxic > 0").select("text").mapInArrow(tidy(toxic_prefixes), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min(least, 3))
     support = {r.term: r.n for r in found.orderBy(F.desc("n"), "term").collect()}
     candidates = list(support)
     index = {t: k for k, t in enumerate(candidates)}
@@ -173,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, chance: f
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["k", "n"])
 
     clean = np.zeros(len(candidates))
-    for r in rows.where("toxic <= 0").select("text").mapInArrow(clean_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in rows.where("toxic <= 0").select("text").mapInArrow(tidy(clean_counts), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         clean[r.k] = r.n
     fine = 5.0 * n_toxic / max(1, n_clean)
     # what clean texts hold as often goes; the rest is a small list
@@ -201,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, chance: f
     places: dict[int, set[int]] = {}
     words, gain = np.zeros(len(candidates)), np.zeros(len(candidates))
     docs_of: dict[int, list[int]] = {}
-    for r in rows.where("toxic > 0").select("text").mapInArrow(incidence, "ids binary, after binary, grown binary").collect():
+    for r in rows.where("toxic > 0").select("text").mapInArrow(tidy(incidence), "ids binary, after binary, grown binary").collect():
         ids, after, grown = (np.frombuffer(x, np.int32) for x in (r.ids, r.after, r.grown))
         words[ids] += grown
         gain[ids] += 1
@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, chance: f
                 n.append(len(f.split()))
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.float64()), pa.array(n, pa.int64()), b.column(1).cast(pa.int32())], ["w", "n", "y"])
 
-    got = rows.mapInArrow(measured, "w double, n long, y int").collect()
+    got = rows.mapInArrow(tidy(measured), "w double, n long, y int").collect()
     x = np.array([_features(r.w, r.n) for r in got])
     y = np.array([float(r.y > 0) for r in got])
     if 0 < y.sum() < len(y):
@@ -265,7 +265,7 @@ def _harmless(rows: DataFrame, terms: dict[str, float], least: int = 3, share: f
                 n.update((p, int(y > 0)) for p in mine if " " in p)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([y for _, y in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["p", "y", "n"])
 
-    found = rows.mapInArrow(pairs, "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("if(y = 0, n, 0)")).alias("c"), F.sum("n").alias("n"))
+    found = rows.mapInArrow(tidy(pairs), "p string, y int, n long").groupBy("p").agg(F.sum(F.expr("if(y = 0, n, 0)")).alias("c"), F.sum("n").alias("n"))
     return tuple(r.p for r in found.where((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))).orderBy(F.desc("c"), "p").collect())
 
 
@@ -280,7 +280,7 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> D
 
     def run(batches):
         a, (c0, c1, c2) = automaton(lexicon), lexicon.curve
-        for b in batches:
+        for b in in_slices(batches):
             n_words, n_hits, weight, p = [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 f = fold(t)
@@ -293,7 +293,7 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> D
             cols += [pa.array(n_words, pa.int64()), pa.array(n_hits, pa.int64()), pa.array(weight, pa.float64()), pa.array(p, pa.float64()), pa.array([int(v >= 0.5) for v in p], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, [*keep, "n_words", "n_hits", "weight", "score", "predicted"])
 
-    return src.mapInArrow(run, f"{schema}, n_words long, n_hits long, weight double, score double, predicted int")
+    return src.mapInArrow(tidy(run), f"{schema}, n_words long, n_hits long, weight double, score double, predicted int")
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
